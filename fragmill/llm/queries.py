@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import duplicates, splits
+from fragmill.llm import duplicates, encoding, leakage, mixing, splits
 from fragmill.sources.tables import table
 
 RECORD = ["protac_smiles", "e3_binder_smiles", "poi_ligand_smiles"]
@@ -36,5 +36,41 @@ def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign(_entities(spark, folder), {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
-QUERIES = {"p2_found": p2_found, "p2_records": p2_records, "p5_found": p5_found, "p5_splits": p5_splits}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents", ["doc_id", "text"]), table(spark, folder, "heldout_items", ["item_id", "item_text"]))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).filter("exact_run >= 12").select("doc_id", "item_id")
+
+
+def p6_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).filter("matched_words >= 12")
+
+
+def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, folder, "documents", ["doc_id", "text", "source"]), table(spark, folder, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).drained().filter("short").select("source")
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).documents()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).shares()
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.repair(table(spark, folder, "documents", ["doc_id", "text", "lang"])).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.repair(table(spark, folder, "documents", ["doc_id", "text", "lang"]))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p5_found, p5_splits, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
 ORACLES: dict[str, str] = {}
