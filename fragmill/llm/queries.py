@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import duplicates, encoding, leakage, mixing, splits
+from fragmill.llm import clusters, duplicates, encoding, leakage, mixing, splits
 from fragmill.sources.tables import table
 
 RECORD = ["protac_smiles", "e3_binder_smiles", "poi_ligand_smiles"]
@@ -20,6 +20,17 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return duplicates.collapse(table(spark, folder, "curated", ["row_id", *RECORD]), "row_id", RECORD)
 
 
+def _molecules(spark: SparkSession, folder: str) -> DataFrame:
+    a = table(spark, folder, "curated", ["row_id", "protac_smiles"]).select(F.col("row_id").alias("rec_id"), F.lit(0).alias("space"), F.col("protac_smiles").alias("value"))
+    b = table(spark, folder, "finetuning", ["sample_id", "poi_ligand_smiles_with_direction"]).select(F.col("sample_id").alias("rec_id"), F.lit(1).alias("space"), F.col("poi_ligand_smiles_with_direction").alias("value"))
+    return a.union(b)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = clusters.linked(_molecules(spark, folder), "rec_id", "value", "space")
+    return rows.select(F.col("id").alias("rec_id"), F.col("cluster").alias("cluster_id"))
+
+
 def _entities(spark: SparkSession, folder: str) -> DataFrame:
     curated = table(spark, folder, "curated", ["row_id", "e3_binder_smiles_with_direction", "poi_ligand_smiles_with_direction"])
     tuning = table(spark, folder, "finetuning", ["sample_id", "labels"])
@@ -72,5 +83,5 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.repair(table(spark, folder, "documents", ["doc_id", "text", "lang"]))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p5_found, p5_splits, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p5_found, p5_splits, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
 ORACLES: dict[str, str] = {}
