@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import clusters, duplicates, encoding, leakage, mixing, splits
+from fragmill.llm import clusters, duplicates, encoding, leakage, mixing, overlap, splits
 from fragmill.sources.tables import table
 
 RECORD = ["protac_smiles", "e3_binder_smiles", "poi_ligand_smiles"]
@@ -31,6 +31,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("id").alias("rec_id"), F.col("cluster").alias("cluster_id"))
 
 
+def _tuning(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "finetuning", ["sample_id", "text", "labels", "split_name", "source"])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.pairs(_tuning(spark, folder), "sample_id", ["text", "labels"], "split_name")
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.report(_tuning(spark, folder), "sample_id", ["text", "labels"], "split_name", "source")
+
+
 def _entities(spark: SparkSession, folder: str) -> DataFrame:
     curated = table(spark, folder, "curated", ["row_id", "e3_binder_smiles_with_direction", "poi_ligand_smiles_with_direction"])
     tuning = table(spark, folder, "finetuning", ["sample_id", "labels"])
@@ -83,5 +95,5 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.repair(table(spark, folder, "documents", ["doc_id", "text", "lang"]))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p5_found, p5_splits, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p4_found, p4_report, p5_found, p5_splits, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
 ORACLES: dict[str, str] = {}
