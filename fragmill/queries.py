@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmill.functions import fragments as fr
-from fragmill.operators import choose, dictionary, malformed, quality, summaries
+from fragmill.operators import choose, dictionary, graph, malformed, molecules, quality, sampling, summaries
 from fragmill.sources.tables import table
+from fragmill.streaming import metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -464,3 +465,111 @@ def coverage(spark, folder):
     rows = table(spark, folder, "curated", ["protac_id"]).dropna().groupBy("protac_id").agg(F.count(F.lit(1)).alias("k")).join(done, "protac_id", "left")
     n = F.count("yes")
     return rows.agg(F.sum("k").alias("rows"), n.alias("covered"), (n / F.count(F.lit(1))).alias("share"))
+
+
+# Graphs, molecules, sampling, streams
+
+_EDGES = "(select distinct 0 as g, least(e3_binder_id, poi_ligand_id) as u, greatest(e3_binder_id, poi_ligand_id) as v from curated where e3_binder_id <> poi_ligand_id)"
+
+
+def _ligand_edges(spark, folder):
+    rows = table(spark, folder, "curated", ["e3_binder_id", "poi_ligand_id"]).dropna()
+    return rows.select(F.lit(0).alias("g"), F.col("e3_binder_id").alias("u"), F.col("poi_ligand_id").alias("v")).distinct()
+
+
+@query(f"select u, count(*) as degree from (select u, v from {_EDGES} union select v, u from {_EDGES}) group by 1")
+def edge_degree(spark, folder):
+    return graph.degrees(_ligand_edges(spark, folder), "g").select("u", "degree")
+
+
+@query(f"with e as (select u, v from {_EDGES} union select v, u from {_EDGES}) select u, count(*) as n2 from (select distinct a.u, b.v from e a join e b on a.v = b.u where a.u <> b.v and not exists (select 1 from e c where c.u = a.u and c.v = b.v)) group by 1")
+def edge_two_hops(spark, folder):
+    return graph.exactly_two_away(_ligand_edges(spark, folder), "g").select("u", "n2")
+
+
+@query("select distinct l_orderkey, a.l_linenumber as a, b.l_linenumber as b from lineitem a join lineitem b using (l_orderkey) where a.l_linenumber < b.l_linenumber and (a.l_suppkey in (b.l_suppkey, b.l_partkey + 1000000) or a.l_partkey + 1000000 in (b.l_partkey + 1000000, b.l_suppkey))")
+def line_graph(spark, folder):
+    rows = table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"])
+    edges = rows.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1000000).alias("v"))
+    return graph.line_graph(edges, "l_orderkey", "l_linenumber")
+
+
+def _e3_refs(spark, folder):
+    rows = table(spark, folder, "representatives", ["rep_id", "smiles", "is_warhead"]).filter("not is_warhead")
+    return [r.smiles for r in rows.orderBy("rep_id").limit(10_000).collect()]
+
+
+@query()
+def heuristic_split(spark, folder):
+    return molecules.heuristic_split(table(spark, folder, "controls", ["protac_id", "protac_smiles"]), "protac_id", "protac_smiles", _e3_refs(spark, folder))
+
+
+@query()
+def reassembly(spark, folder):
+    return molecules.reassembly(table(spark, folder, "finetuning", ["sample_id", "labels", "text"]), "sample_id", "labels", "text")
+
+
+@query()
+def edge_features(spark, folder):
+    return molecules.edge_features(table(spark, folder, "controls", ["protac_id", "protac_smiles"]), "protac_id", "protac_smiles")
+
+
+@query()
+def approx_ged(spark, folder):
+    return molecules.edit_distance(table(spark, folder, "curated", ["row_id", "e3_binder_smiles", "poi_ligand_smiles"]), "row_id", "e3_binder_smiles", "poi_ligand_smiles")
+
+
+@query()
+def molecule_descriptors(spark, folder):
+    return molecules.descriptors(table(spark, folder, "curated", ["row_id", "linker_smiles_with_direction"]), "row_id", "linker_smiles_with_direction")
+
+
+@query("with s as (select source as v, sum(count(*)) over (order by source) / sum(count(*)) over () as upto from curated where source is not null group by source) select sample_id, coalesce((select min(v) from s where upto = (select min(upto) from s where upto > ((sample_id * 7919 + 42) % 10007) / 10007.0)), (select max(v) from s)) as source from finetuning")
+def weighted_sample(spark, folder):
+    shares = summaries.distribution(table(spark, folder, "curated", ["source"]), "source")
+    return sampling.weighted(table(spark, folder, "finetuning", ["sample_id"]), "sample_id", shares, "source", "share")
+
+
+@query("select e3, poi, len(list_intersect(a, b)) as n from (select e3_binder_id as e3, list(distinct linker_smiles) as a from curated where e3_binder_id is not null and linker_smiles is not null group by 1) join (select distinct e3_binder_id as e3, poi_ligand_id as poi from curated where poi_ligand_id is not null) using (e3) join (select poi_ligand_id as poi, list(distinct linker_smiles) as b from curated where poi_ligand_id is not null and linker_smiles is not null group by 1) using (poi)")
+def compatible_pairs(spark, folder):
+    rows = table(spark, folder, "curated", ["e3_binder_id", "poi_ligand_id", "linker_smiles"])
+    known = rows.select(F.col("e3_binder_id").alias("e3"), F.col("poi_ligand_id").alias("poi")).dropna().distinct()
+    e = rows.select(F.col("e3_binder_id").alias("e3"), "linker_smiles").dropna().distinct()
+    p = rows.select(F.col("poi_ligand_id").alias("poi"), "linker_smiles").dropna().distinct()
+    both = known.join(e, "e3").join(p, ["poi", "linker_smiles"]).groupBy("e3", "poi").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(e.select("e3").distinct(), "e3", "left_semi").join(p.select("poi").distinct(), "poi", "left_semi").join(both, ["e3", "poi"], "left").select("e3", "poi", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("select sample_id, unnest(range(case when (sample_id * 7919 + 7) % 100 < 30 then 4 else 1 end))::int as copy from finetuning")
+def augment_repeat(spark, folder):
+    return sampling.repeat_some(table(spark, folder, "finetuning", ["sample_id"]), "sample_id", 4, 30)
+
+
+@query("select o_orderkey from orders order by o_orderkey limit (select floor(0.3 * count(*))::int from orders)")
+def ratio_limit(spark, folder):
+    return sampling.first_share(table(spark, folder, "orders", ["o_orderkey"]), "o_orderkey", 0.3)
+
+
+_TOK = r"\[[^\]]*\]|Cl|Br|%[0-9]{2}|[A-Za-z0-9*=#:/\\().+@-]"
+
+
+@query(f"select sample_id, len(t) as n, list_resize(t[:32], 32, '<pad>') as tokens from (select sample_id, regexp_extract_all(text, '{_TOK}') as t from finetuning where text is not null)")
+def tokenise(spark, folder):
+    rows = table(spark, folder, "finetuning", ["sample_id", "text"]).dropna()
+    t = F.regexp_extract_all("text", F.lit(f"({_TOK})"), 1)
+    return rows.select("sample_id", t.alias("t")).select("sample_id", F.size("t").alias("n"), F.slice(F.concat("t", F.array_repeat(F.lit("<pad>"), 32)), 1, 32).alias("tokens"))
+
+
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(avg(value) filter (not isnan(value)), 6) as mean from events group by 1, 2")
+def windowed_metrics(spark, folder):
+    out = metrics.windowed_metrics(table(spark, folder, "events", ["ts", "event_type", "value"]), "ts", ["event_type"], "value")
+    return out.withColumns({"mean": F.round("mean", 6), "start": F.col("start").cast("timestamp_ntz")})
+
+
+@query(
+    """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as n from s group by user_id, k"""
+)
+def sessions(spark, folder):
+    out = metrics.sessions(table(spark, folder, "events", ["ts", "user_id"]), "ts", "user_id")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
