@@ -85,3 +85,34 @@ def similarity(a: set, b: set) -> float:
     """Intersection by union; two empty sets have none."""
     both = len(a & b)
     return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def pair_similarities(xs: Sequence[str], ys: Sequence[str], by_dots: bool) -> np.ndarray:
+    """The exact similarity of each pair of texts, over their pieces between dots or over the whole.
+
+    Texts are taken a bounded number of characters at a time. Each different text of such a part becomes one row of
+    bits over the part's substrings, so a pair costs one intersection of rows.
+    """
+    out = np.zeros(len(xs))
+    ends = np.cumsum([len(x) + len(y) for x, y in zip(xs, ys, strict=True)])
+    lo = 0
+    while lo < len(xs):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 1_000_000, side="right")))
+        number: dict[str, int] = {}
+        a = np.array([number.setdefault(x, len(number)) for x in xs[lo:hi]])
+        b = np.array([number.setdefault(y, len(number)) for y in ys[lo:hi]])
+        codes, starts = flatten([t.split(".") if by_dots else [t] for t in number])
+        seen, at = np.unique(codes, return_inverse=True)
+        if len(number) * seen.size <= 1 << 28:
+            bits = np.zeros((len(number), max(1, seen.size)), np.uint8)
+            bits[np.repeat(np.arange(len(number)), np.diff(starts)), at] = 1
+            size = bits.sum(1, dtype=np.int64)
+            packed = np.packbits(bits, axis=1)
+            both = np.array([np.bitwise_count(packed[i] & packed[j]).sum(dtype=np.int64) for i, j in zip(a, b, strict=True)])
+        else:
+            sets = [np.unique(at[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            size = np.array([s.size for s in sets])
+            both = np.array([np.intersect1d(sets[i], sets[j], assume_unique=True).size for i, j in zip(a, b, strict=True)])
+        out[lo:hi] = both / np.maximum(size[a] + size[b] - both, 1)
+        lo = hi
+    return out

@@ -198,15 +198,15 @@ def _aligned(batches: Iterator[pa.RecordBatch], threshold: float, k: int, w: int
     """Of (field, a, b, value_a, value_b): the similar ones, with their similarity and what aligns."""
     names = ["field", "a", "b", "similarity", "anchors", "covered_a", "covered_b"]
     for batch in batches:
-        keep, sims, found = [], [], []
-        for n, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-            x, y = x.split("."), y.split(".")
-            s = grams.similarity(grams.gram_set(x), grams.gram_set(y))
-            if s >= threshold:
-                keep.append(n)
-                sims.append(s)
-                anchors, cx, cy = align(x, y, k, w)
-                found.append((anchors, cx / max(1, sum(map(len, x))), cy / max(1, sum(map(len, y)))))
+        xs, ys = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        sims = grams.pair_similarities(xs, ys, True)
+        keep = np.flatnonzero(sims >= threshold)
+        found = []
+        for n in keep:
+            x, y = xs[n].split("."), ys[n].split(".")
+            anchors, cx, cy = align(x, y, k, w)
+            found.append((anchors, cx / max(1, sum(map(len, x))), cy / max(1, sum(map(len, y)))))
+        sims = sims[keep]
         rows = batch.take(pa.array(keep, pa.int64()))
         columns = [pa.array([f[i] for f in found], pa.int32() if i == 0 else pa.float64()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(sims, pa.float64()), *columns], names=names)
