@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fragmill.llm import clusters, duplicates, encoding, leakage, mixing, overlap, splits
+from fragmill.llm import birch, clusters, duplicates, encoding, leakage, mixing, overlap, splits
+from fragmill.llm.oracles import ORACLES  # noqa: F401
 from fragmill.sources.tables import table
 
 RECORD = ["protac_smiles", "e3_binder_smiles", "poi_ligand_smiles"]
@@ -31,6 +32,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("id").alias("rec_id"), F.col("cluster").alias("cluster_id"))
 
 
+def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    a = birch.Clustering(table(spark, folder, "curated", ["row_id", "protac_smiles"]), "row_id", "protac_smiles")
+    b = birch.Clustering(table(spark, folder, "finetuning", ["sample_id", "poi_ligand_smiles_with_direction"]), "sample_id", "poi_ligand_smiles_with_direction")
+    named = lambda c, n: c.described().withColumn("field", F.lit(n))
+    return named(a, "protac_smiles").union(named(b, "poi_ligand_smiles_with_direction"))
+
+
 def _tuning(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "finetuning", ["sample_id", "text", "labels", "split_name", "source"])
 
@@ -95,5 +103,4 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.repair(table(spark, folder, "documents", ["doc_id", "text", "lang"]))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p4_found, p4_report, p5_found, p5_splits, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_clusters, p4_found, p4_report, p5_found, p5_splits, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
