@@ -202,7 +202,7 @@ def _atoms_sql(x: str) -> str:
 _LX, _LH = (_atoms_sql(_role_sql(f"string_split(c_{m}.p, '.')", "linker")) for m in ("XGBoost", "Heuristic"))
 
 
-@query(f"select protac_id, case when x >= h then 'XGBoost' else 'Heuristic' end as method, greatest(x, h) as linker_atoms from (select protac_id, {_LX} as x, {_LH} as h from {_FIRST})")
+@query(f"select protac_id, case when x >= h then 'XGBoost' else 'Heuristic' end as method, greatest(x, h)::int as linker_atoms from (select protac_id, {_LX} as x, {_LH} as h from {_FIRST})")
 def select_longest(spark, folder):
     atoms = lambda m: fr.heavy_atoms(fr.split_roles(F.col(f"c_{m}.p"))["linker"])
     rows = _candidates(spark, folder).select("protac_id", atoms("XGBoost").alias("x"), atoms("Heuristic").alias("h"))
@@ -257,7 +257,7 @@ def topn_padded(spark, folder):
     return choose.top_n_padded(rows, "l_orderkey", [F.desc("l_extendedprice"), F.col("l_linenumber")], "l_partkey", 3)
 
 
-@query("select protac_id, run_id, pred_id, rank from (select *, row_number() over (partition by protac_id, run_id order by predicted_at desc, pred_id desc) as rank from predictions) where rank <= 2")
+@query("select protac_id, run_id, pred_id, rank::int as rank from (select *, row_number() over (partition by protac_id, run_id order by predicted_at desc, pred_id desc) as rank from predictions) where rank <= 2")
 def latest_predictions(spark, folder):
     rows = table(spark, folder, "predictions", ["protac_id", "run_id", "pred_id", "predicted_at"])
     return choose.top_n(rows, ["protac_id", "run_id"], [F.desc("predicted_at"), F.desc("pred_id")], 2).select("protac_id", "run_id", "pred_id", "rank")
@@ -327,7 +327,7 @@ def minmax_per_group(spark, folder):
     return rows.select("p_partkey", F.round("norm_p_retailprice", 9).alias("norm"))
 
 
-@query("select p_brand, p_partkey, rank from (select p_brand, p_partkey, row_number() over (partition by p_brand order by abs(p_size - m), p_partkey) as rank from part join (select p_brand, median(p_size) as m from part group by 1) using (p_brand))")
+@query("select p_brand, p_partkey, rank::int as rank from (select p_brand, p_partkey, row_number() over (partition by p_brand order by abs(p_size - m), p_partkey) as rank from part join (select p_brand, median(p_size) as m from part group by 1) using (p_brand))")
 def median_distance_order(spark, folder):
     from pyspark.sql import Window
 
@@ -553,7 +553,7 @@ def ratio_limit(spark, folder):
 _TOK = r"\[[^\]]*\]|Cl|Br|%[0-9]{2}|[A-Za-z0-9*=#:/\\().+@-]"
 
 
-@query(f"select sample_id, len(t) as n, list_resize(t[:32], 32, '<pad>') as tokens from (select sample_id, regexp_extract_all(text, '{_TOK}') as t from finetuning where text is not null)")
+@query(f"select sample_id, len(t)::int as n, list_resize(t[:32], 32, '<pad>') as tokens from (select sample_id, regexp_extract_all(text, '{_TOK}') as t from finetuning where text is not null)")
 def tokenise(spark, folder):
     rows = table(spark, folder, "finetuning", ["sample_id", "text"]).dropna()
     t = F.regexp_extract_all("text", F.lit(f"({_TOK})"), 1)
