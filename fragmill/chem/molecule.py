@@ -359,3 +359,70 @@ def edit_distance(a: Molecule, b: Molecule) -> int:
         cost += price[k]
         free.pop(k)
     return cost + len(free)
+
+
+def without_stereo(text: str) -> str:
+    """A molecule string without stereo marks."""
+    text = re.sub(r"\[([A-Za-z]{1,2})@{1,2}H?\]", lambda t: t[1], text)
+    return text.replace("@", "").replace("/", "").replace("\\", "")
+
+
+def real_atoms(mol: Molecule) -> int:
+    """Heavy atoms, attachment points not counted."""
+    return sum(a[1] not in ("*", "H") for a in mol.atoms)
+
+
+def linker_shape(mol: Molecule) -> tuple[int, int, int]:
+    """(heavy atoms on the shortest path between the attachment points, branch points outside rings, rings)."""
+    near, ends = mol.neighbours(), [i for i, a in enumerate(mol.atoms) if a[1] == "*"]
+    between = -1
+    if len(ends) >= 2:
+        far, order = {ends[0]: 0}, [ends[0]]
+        for u in order:
+            for v, _ in near[u]:
+                if v not in far:
+                    far[v] = far[u] + 1
+                    order.append(v)
+        between = far.get(ends[1], 0) - 1
+    free = set(bridges(mol))
+    ringed = {x for i, (u, v, _) in enumerate(mol.bonds) if i not in free for x in (u, v)}
+    branches = sum(len(x) >= 3 and u not in ringed for u, x in enumerate(near))
+    return between, branches, len(mol.bonds) - len(mol.atoms) + len(pieces(mol, set()))
+
+
+def roles(prediction: str | None) -> dict[str, str | None]:
+    """{e3, linker, poi} by label content; all None unless there are three parts."""
+    out: dict[str, str | None] = {"e3": None, "linker": None, "poi": None}
+    parts = (prediction or "").split(".")
+    if len(parts) == 3:
+        for p in parts:
+            one, two = "[*:1]" in p, "[*:2]" in p
+            if one or two:
+                out["linker" if one and two else "poi" if one else "e3"] = p
+    return out
+
+
+def labelled(mol: Molecule, atoms: list[int], cuts: dict[int, int]) -> Molecule:
+    """Some atoms of a molecule, with an attachment point of the given label at each cut bond they touch."""
+    place = {a: i for i, a in enumerate(atoms)}
+    out = Molecule([mol.atoms[a] for a in atoms], [(place[u], place[v], o) for i, (u, v, o) in enumerate(mol.bonds) if i not in cuts and u in place and v in place])
+    for b, label in cuts.items():
+        for a in mol.bonds[b][:2]:
+            if a in place:
+                out.atoms.append((f"[*:{label}]", "*", label))
+                out.bonds.append((place[a], len(out.atoms) - 1, 1.0))
+    return out
+
+
+def neighbourhood(mol: Molecule, label: int, hops: int = 1) -> str | None:
+    """What stands around an attachment point: element, bonds and neighbours up to some hops, in sorted order."""
+    near = mol.neighbours()
+    at = next((i for i, a in enumerate(mol.atoms) if a[2] == label and a[1] == "*"), None)
+    if at is None or not near[at]:
+        return None
+
+    def around(u: int, before: int, left: int) -> str:
+        inner = sorted(f"{mol.bonds[b][2]:g}{around(v, u, left - 1)}" for v, b in near[u] if v != before) if left else []
+        return mol.atoms[u][1] + ("(" + ",".join(inner) + ")" if inner else "")
+
+    return around(near[at][0][0], at, hops)

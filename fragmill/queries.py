@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmill.functions import fragments as fr
-from fragmill.operators import choose, dictionary, graph, malformed, molecules, quality, sampling, summaries
+from fragmill.operators import choose, dictionary, generate, graph, learning, malformed, molecules, quality, sampling, scoring, summaries
+from fragmill.plans.lineage import Scratch
 from fragmill.sources.tables import table
 from fragmill.streaming import metrics
 
@@ -573,3 +574,56 @@ select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*
 def sessions(spark, folder):
     out = metrics.sessions(table(spark, folder, "events", ["ts", "user_id"]), "ts", "user_id")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
+
+
+@query()
+def score_splits(spark, folder):
+    rows = table(spark, folder, "controls", ["protac_id", "protac_smiles", "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"])
+    rows = rows.withColumn("label", fr.join_roles(F.col("e3_binder_smiles_with_direction"), F.col("linker_smiles_with_direction"), F.col("poi_ligand_smiles_with_direction")))
+    refs = table(spark, folder, "representatives", ["rep_id", "smiles", "is_warhead"]).orderBy("rep_id").limit(10_000).collect()
+    return scoring.score_splits(rows, "protac_id", "label", "protac_smiles", [r.smiles for r in refs if not r.is_warhead], [r.smiles for r in refs if r.is_warhead])
+
+
+def _labelled_predictions(spark, folder):
+    """Predictions of control molecules beside the known split; one of each different prediction."""
+    known = table(spark, folder, "controls", ["protac_id", "protac_smiles", "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"])
+    known = known.select("protac_id", "protac_smiles", fr.join_roles(F.col("e3_binder_smiles_with_direction"), F.col("linker_smiles_with_direction"), F.col("poi_ligand_smiles_with_direction")).alias("label"))
+    given = table(spark, folder, "predictions", ["pred_id", "protac_id", "default_pred_n0"]).join(known.select("protac_id"), "protac_id", "left_semi")
+    one = given.groupBy("protac_id", "default_pred_n0").agg(F.min("pred_id").alias("pred_id"))
+    return one.join(known, "protac_id")
+
+
+@query()
+def score_predictions(spark, folder):
+    return scoring.score_predictions(_labelled_predictions(spark, folder), "pred_id", "protac_smiles", "label", "default_pred_n0")
+
+
+@query()
+def fix_predictions(spark, folder):
+    return scoring.repair(_labelled_predictions(spark, folder), "pred_id", "default_pred_n0", "protac_smiles")
+
+
+@query()
+def attachment_group_distribution(spark, folder):
+    rows = scoring.attachment_groups(table(spark, folder, "curated", ["row_id", "e3_binder_smiles_with_direction"]), "row_id", "e3_binder_smiles_with_direction", 2)
+    return summaries.distribution(rows, "grp")
+
+
+@query()
+def generated_molecules(spark, folder):
+    rows = table(spark, folder, "curated", ["e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"])
+    return generate.generate(rows, "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction", 200)
+
+
+@query()
+def edge_classifier(spark, folder):
+    rows = table(spark, folder, "controls", ["protac_id", "protac_smiles", "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"])
+    rows = rows.withColumn("label", fr.join_roles(F.col("e3_binder_smiles_with_direction"), F.col("linker_smiles_with_direction"), F.col("poi_ligand_smiles_with_direction")))
+    edges = Scratch(spark).keep(learning.labelled_edges(rows, "protac_id", "protac_smiles", "label"))
+    top = learning.top_bonds(learning.fit_edges(edges), edges, "protac_id")
+    return top.join(edges.select("protac_id", "bond", "side"), ["protac_id", "bond"]).select("protac_id", "bond", "rank", "side")
+
+
+@query()
+def cluster_sweep(spark, folder):
+    return learning.cluster_sweep(table(spark, folder, "embeddings", ["embedding"]), "embedding", [5, 10, 20])
