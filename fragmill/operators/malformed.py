@@ -99,7 +99,8 @@ def strip_space(value: Column) -> Column:
 
 def skeleton(value: Column) -> Column:
     """A molecule string with each atom written as A; what is left over besides bonds, rings, dots and parentheses is no syntax."""
-    return F.regexp_replace(F.regexp_replace(value, _BRACKET, "A"), r"Cl|Br|[BCNOPSFIbcnops*]", "A")
+    bare = F.replace(F.replace(F.regexp_replace(value, _BRACKET, "*"), F.lit("Cl"), F.lit("C")), F.lit("Br"), F.lit("B"))
+    return F.translate(bare, "BCNOPSFIbcnops*A", "A" * 15 + "!")
 
 
 def skeleton_ok(bare: Column) -> Column:

@@ -129,7 +129,7 @@ CASES = [
     ("curated", 'a,"C",,,,"say ""hi"""'), ("curated", '"""a""",C,,,,n'), ("curated", '""a"",C,,,,n'), ("curated", 'a,C"",,,,n'),
     ("curated", 'a,C,,,,"x" '), ("curated", 'a,C,,,,"x'), ("curated", 'a,C,"",,,'), ("curated", 'a,C,"""",,,'), ("curated", 'a,C,""",,,'),
     ("curated", 'a, "C",,,,n'), ("curated", "a,C,,,,n,"), ("curated", 'a,"C,D",,,,n'), ("curated", 'a,b,"c\nd",e'), ("curated", '",",C,",",",",",",n'),
-    *[("curated", E3.format(x)) for x in ("C()", "C(C", "C)C(", "C(C)(C)", "C1CC1", "C1CC2", "C%11CC%11", "C%1C", "C%01CC1", "=C", "/C=C/C", "\\C", "C=", "C.", ".C", "C.C", "C-", "C/", "[nH]1cc1", "[13CH4]", "[Zz]", "[C@@H]", "[C@@@H]", "[O-]", "[Fe+++]", "[Fe+2]", "[*:1]", "[*:]", "[:1]", "[]", "1CC1", "(C)C", "Xx", "c1ccccc1", "ClBr", "Al", "[Al]", "[se]", "C C", "%11C%11", "[2H]C", "C(=O)O", "C((C))", "C(1)C1", "*", "é", "C{C}")],
+    *[("curated", E3.format(x)) for x in ("C()", "C(C", "C)C(", "C(C)(C)", "C1CC1", "C1CC2", "C%11CC%11", "C%1C", "C%01CC1", "=C", "/C=C/C", "\\C", "C=", "C.", ".C", "C.C", "C-", "C/", "[nH]1cc1", "[13CH4]", "[Zz]", "[C@@H]", "[C@@@H]", "[O-]", "[Fe+++]", "[Fe+2]", "[*:1]", "[*:]", "[:1]", "[]", "1CC1", "(C)C", "Xx", "c1ccccc1", "ClBr", "Al", "[Al]", "[se]", "C C", "%11C%11", "[2H]C", "C(=O)O", "C((C))", "C(1)C1", "*", "é", "C{C}", "CA", "A", "CAC", "Bl", "Cr", "BrCl", "CCl(Br)l", "!C", "C~C")],
     *[("prediction", f"C,{x},m,1,") for x in ("", " ", "nan", "[*:2]C.[*:2]C[*:1].[*:1]C", "[*:2]C.[*:2]C[*:2].[*:1]C", "C[*:1].C[*:1].[*:2]C[*:2]", "C.[*:2]C[*:1].[*:1]C", "[*:2]C.[*:2]C[*:1].[*:1]C.C", "[*:2]C..[*:1]C")],
     ("prediction", 'C,"",m,x,r'), ("prediction", "C,,m,2,\u2028"), ("curated", "a\uffffb,C,,,,n"),
 ]
