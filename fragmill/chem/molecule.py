@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
+from hashlib import blake2b
+from itertools import zip_longest
 
 _TOKEN = re.compile(r"(\[[^\[\]]+\])|(Cl|Br|[BCNOPSFIbcnops*])|(%\d\d|\d)|([-=#:/\\])|(\()|(\))|(\.)")
 _BRACKET = re.compile(r"\[(\d*)(\*|[A-Z][a-z]?|[a-z]{1,2})(@{0,2})(H\d*)?([+-]\d+|\++|-+)?(?::(\d+))?\]")
@@ -233,30 +237,36 @@ def write(mol: Molecule, atoms: list[int], extra: dict[int, list[str]] | None =
     return "".join(out)
 
 
-def colours(mol: Molecule, rounds: int = 0) -> list[int]:
-    """Colour refinement from atoms and bonds until it splits no further."""
-    import hashlib
+@cache
+def _atom_colour(element: str, label: int) -> int:
+    return int.from_bytes(blake2b(f"{element}|{label}".encode(), digest_size=7).digest(), "little")
 
-    h = lambda x: int.from_bytes(hashlib.blake2b(repr(x).encode(), digest_size=8).digest(), "little")
-    near = mol.neighbours()
-    colour = [h((a[0], a[2])) for a in mol.atoms]
-    for _ in range(rounds or len(mol.atoms)):
-        new = [h((colour[u], sorted((mol.bonds[b][2], colour[v]) for v, b in near[u]))) for u in range(len(colour))]
-        if len(set(new)) == len(set(colour)) and not rounds:
-            return new
-        colour = new
-    return colour
+
+def colours(mol: Molecule, rounds: int = 12) -> Iterator[list[int]]:
+    """The atoms' colours after 0, 1, ... rounds of refinement by their bonds and neighbours, until no colour splits.
+
+    Colours are hashes of numbers only, so they are the same in every process.
+    """
+    near = [[(round(2 * mol.bonds[b][2]), v) for v, b in x] for x in mol.neighbours()]
+    colour = [_atom_colour(a[0], a[2]) for a in mol.atoms]
+    kinds = len(set(colour))
+    yield colour
+    for _ in range(rounds):
+        colour = [hash((colour[u], *sorted((o, colour[v]) for o, v in near[u]))) for u in range(len(colour))]
+        before, kinds = kinds, len(set(colour))
+        yield colour
+        if kinds == before:
+            return
 
 
 def same(a: Molecule, b: Molecule) -> bool:
-    """Whether two graphs have the same refined colours after twelve rounds, as molecules that differ have in practice.
+    """Whether two graphs have the same refined colours, as molecules that differ have not in practice.
 
-    Stereo marks are part of the atoms' tokens.
+    Stereo marks are part of the atoms' tokens. Ends at the first round that tells the graphs apart.
     """
     if len(a.atoms) != len(b.atoms) or len(a.bonds) != len(b.bonds):
         return False
-    ca, cb = colours(a, len(a.atoms) and 12), colours(b, len(b.atoms) and 12)
-    return sorted(ca) == sorted(cb)
+    return all(x is not None and y is not None and sorted(x) == sorted(y) for x, y in zip_longest(colours(a), colours(b)))
 
 
 def bits(mol: Molecule, radius: int = 2, size: int = 2048) -> set[int]:

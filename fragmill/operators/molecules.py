@@ -1,6 +1,6 @@
 """Row operators on molecules: per-molecule graph algorithms in Arrow batches, everything around them in expressions.
 
-Each is one narrow pass: no shuffle, and only the columns it needs reach Python. Strings that cannot be read give nulls.
+Each is one pass over only the columns it needs, spread over all tasks. Strings that cannot be read give nulls.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ def _map(df: DataFrame, key: str, inputs: list[str], fields: str, make) -> DataF
                 out.append(memory[args])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r.get(n) for r in out], arrow.field(i + 1).type) for i, n in enumerate(names)]], schema=arrow)
 
-    return df.select(key, *inputs).mapInArrow(run, schema)
+    # A molecule costs milliseconds and a row of strings microseconds to move, so a few large files are spread first.
+    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(key, *inputs).repartition(many).mapInArrow(run, schema)
 
 
 def heuristic_split(df: DataFrame, key: str, text: str, e3_refs: list[str], threshold: float = 0.4, use_capacity: bool = False) -> DataFrame:
