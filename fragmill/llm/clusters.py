@@ -1,14 +1,17 @@
 """Groups of mutually similar records.
 
-``linked`` gives the groups that chains of similar records form, exactly as far as its candidates reach. A cluster
-feature tree cannot give them (its leaves are balls of a bounded number, not chains), so candidates come from
-minhash bands, each link is verified on the whole records, and Hash-to-Min joins the links:
+``linked`` gives the groups that chains of similar records form, exactly. A cluster feature tree cannot give them (its
+leaves are balls of a bounded number, not chains), so candidates come from minhash bands, each link is verified on the
+whole records, and Hash-to-Min joins the links:
 
 1. few bands; each record is checked against the smallest record it shares a band with, which joins most of a group;
 2. many bands, now one entry for each band value and group; groups that meet in a band value are checked against each
-   other through the members that hold it, and joined.
+   other through the members that hold it, and joined;
+3. what bands miss: every pair of distinct values that still stand in different groups is held against a bound that no
+   similar pair exceeds, and what passes is verified.
 
-Cost follows the number of records, whatever the size of a group: no pairs within a group are made.
+No pairs within a group are verified. The first two steps follow the number of records; the bound of the third is a few
+machine words a pair, but it is taken of all pairs of values of comparable size, so it grows with their square.
 """
 
 from __future__ import annotations
@@ -74,6 +77,78 @@ def _checked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], names=["a", "b"])
 
 
+WORDS = 4
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (space, id, grp, value): (space, id, grp, n, w0 to w3): the number of different substrings, and for each of 256
+    classes of substrings whether it holds an odd number of them."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 2000):
+            batch = whole.slice(k, 2000)
+            codes, starts = grams.flatten([[v] for v in batch.column(3).to_pylist()])
+            held = np.unique(np.repeat(np.arange(batch.num_rows, dtype=np.uint64), np.diff(starts)) << np.uint64(32) | codes.astype(np.uint64))
+            row, code = (held >> np.uint64(32)).astype(np.int64), held & np.uint64(0xFFFFFFFF)
+            at = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 8)).astype(np.int64)
+            odd = np.bincount(row * 64 * WORDS + at, minlength=batch.num_rows * 64 * WORDS) & 1
+            words = np.packbits(odd.astype(np.uint8).reshape(batch.num_rows, -1), axis=1).view(np.int64)
+            n = np.bincount(row, minlength=batch.num_rows)
+            columns = [batch.column(0), batch.column(1), batch.column(2), pa.array(n), *[pa.array(words[:, j].copy()) for j in range(WORDS)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["space", "id", "grp", "n", *[f"w{j}" for j in range(WORDS)]])
+
+
+def _within(table: pa.Table, share: float) -> pa.Table:
+    """(a, b) of two blocks' rows of different groups whose parities differ in no more classes than the sets of a similar
+    pair may differ in substrings: ``share`` of the sum of their sizes."""
+    side, ids, grp, n = (table.column(c).to_numpy() for c in ("side", "id", "grp", "n"))
+    words = [table.column(f"w{j}").to_numpy().view(np.uint64) for j in range(WORDS)]
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    own = not y.size
+    y = x if own else y
+    right, most = [w[y] for w in words], share * n[y] + 1e-6
+    top, a, b = (most.max() if y.size else 0), [], []
+    bits, differ, more = np.empty(y.size, np.uint64), np.empty(y.size, np.uint8), np.empty(y.size, np.uint8)
+    for at, i in enumerate(x):
+        # Half of the words leave few pairs, the others are taken of these only.
+        np.bitwise_count(np.bitwise_xor(right[0], words[0][i], out=bits), out=differ)
+        np.bitwise_count(np.bitwise_xor(right[1], words[1][i], out=bits), out=more)
+        np.add(differ, more, out=differ)
+        j = np.flatnonzero(differ <= np.uint8(min(255, share * n[i] + top)))
+        j = j[(j > at) & (grp[y[j]] != grp[i])] if own else j[grp[y[j]] != grp[i]]
+        if j.size:
+            rest = differ[j].astype(np.int64) + sum(np.bitwise_count(right[w][j] ^ words[w][i]) for w in range(2, WORDS))
+            j = j[rest <= share * n[i] + most[j]]
+            a.append(np.repeat(ids[i], j.size))
+            b.append(ids[y[j]])
+    return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
+
+
+def _unjoined(kept: DataFrame, groups: DataFrame, scratch: Scratch, threshold: float, block: int = 16384) -> DataFrame:
+    """(a, b) of distinct values in different groups that may be similar; none that is similar is left out.
+
+    Two sets of similarity t or more differ in at most (1 - t) / (1 + t) of the sum of their sizes, and in at least as
+    many substrings as their parities differ in. Values are cut into blocks by size; blocks too far apart do not meet.
+    """
+    spark = kept.sparkSession
+    one = kept.groupBy("space", "value").agg(F.min("id").alias("id")).join(groups, "id")
+    rows = scratch.keep(one.select("space", "id", F.col("cluster").alias("grp"), "value").mapInArrow(_parities, "space long, id long, grp long, n long, " + ", ".join(f"w{j} long" for j in range(WORDS))))
+    sizes = rows.groupBy("space", "n").count()
+    before = F.sum("count").over(Window.partitionBy("space").orderBy("n")) - F.col("count")
+    sizes = sizes.withColumn("before", before)
+    placed = rows.join(sizes, ["space", "n"]).withColumn("block", F.floor((F.col("before") + F.pmod(F.xxhash64("id"), "count")) / block)).drop("before", "count")
+    held = sorted(tuple(r) for r in placed.groupBy("space", "block").agg(F.min("n"), F.max("n")).collect())
+    meet, k = [], 0
+    for i, (space, x, _, top) in enumerate(held):
+        for other, y, low, _ in held[i:]:
+            if other == space and top >= threshold * low:
+                meet += [(space, x, k, 0)] + ([(space, y, k, 1)] if y != x else [])
+                k += 1
+    pairs = spark.createDataFrame(meet, "space long, block long, pair long, side int")
+    spread = placed.join(F.broadcast(pairs), ["space", "block"])
+    share = (1 - threshold) / (1 + threshold)
+    return spread.groupBy("pair").applyInArrow(lambda t: _within(t, share), "a long, b long")
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     texts = rows.select("id", "value")
     both = pairs.join(texts.withColumnRenamed("id", "a").withColumnRenamed("value", "x"), "a").join(texts.withColumnRenamed("id", "b").withColumnRenamed("value", "y"), "b")
@@ -89,7 +164,8 @@ def linked(df: DataFrame, id_col: str, value: str, space: str | None = None, thr
     record each; records of different ``space`` (an integer column) are never compared. Other columns are ignored.
 
     Two records of similarity s share one of b bands of r hashes with probability 1 - (1 - s^r)^b: with the
-    defaults 0.98 at 0.70, 0.9985 at 0.75 and more than 0.99999 from 0.80; and a link counts only if no other chain joins its ends.
+    defaults 0.98 at 0.70, 0.9985 at 0.75 and more than 0.99999 from 0.80. Links that bands miss are found by a bound on
+    all pairs of values in different groups, so none is left out.
     """
     require(df, [id_col, value] + ([space] if space else []))
     scratch = Scratch(df.sparkSession)
@@ -132,5 +208,10 @@ def linked(df: DataFrame, id_col: str, value: str, space: str | None = None, thr
     joined = hash_to_min(ends, scratch)
     groups = kept.select("id").join(found, "id", "left").select("id", F.coalesce("grp", "id").alias("grp")).join(joined.withColumnRenamed("node", "grp"), "grp", "left")
     groups = scratch.keep(groups.select("id", F.coalesce("component", "grp").alias("cluster")))
+    # What bands miss.
+    missed = _verified(scratch.keep(_unjoined(kept, groups, scratch, threshold)), kept, threshold)
+    ends = missed.join(groups.select(F.col("id").alias("a"), F.col("cluster").alias("ga")), "a").join(groups.select(F.col("id").alias("b"), F.col("cluster").alias("gb")), "b")
+    last = hash_to_min(ends.select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct(), scratch)
+    groups = groups.join(last.withColumnRenamed("node", "cluster"), "cluster", "left").select("id", F.coalesce("component", "cluster").alias("cluster"))
     counts = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return groups.join(counts, "cluster").select("id", "cluster", "size")

@@ -54,6 +54,21 @@ def test_chain_hot_group_nulls_short_and_long(spark):
     assert C.linked(df.limit(0), "id", "value").count() == 0
 
 
+def test_links_that_bands_miss(spark):
+    """One band of many hashes joins next to nothing; the groups must still be those of brute force."""
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("cnospf()=#[]123456789") for _ in range(n))
+    rows = []
+    for k in range(40):
+        base = word(200)
+        rows += [(10 * k, 0, base), (10 * k + 1, 0, base[:165] + word(35)), (10 * k + 2, 0, base[:170] + word(30)), (10 * k + 3, k % 2, word(30) + base[35:])]
+    df = spark.createDataFrame(rows, "id long, space int, value string")
+    want = brute(rows)
+    assert want
+    for bands in ({"rows": 8, "first_bands": 1, "all_bands": 1}, {"rows": 64, "first_bands": 1, "all_bands": 2}, {}):
+        assert sorted((r.id, r.cluster) for r in C.linked(df, "id", "value", "space", **bands).collect()) == want
+
+
 def test_minhash_estimates_similarity():
     rng = random.Random(3)
     base = "".join(rng.choice("cnosp()=123") for _ in range(300))
