@@ -500,11 +500,33 @@ def _e3_refs(spark, folder):
     return [r.smiles for r in rows.orderBy("rep_id").limit(10_000).collect()]
 
 
+_LABELLED = ["e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"]
+
+
+def _whole_molecules(spark, folder):
+    """(protac_id, protac_smiles) of curated and controls, each protac_id once; it is a hash of the string."""
+    both = table(spark, folder, "curated", ["protac_id", "protac_smiles"]).union(table(spark, folder, "controls", ["protac_id", "protac_smiles"]))
+    return both.dropna().groupBy("protac_id").agg(F.min("protac_smiles").alias("protac_smiles"))
+
+
+def _once(rows: DataFrame, keys: list[str], inputs: list[str], make) -> DataFrame:
+    """make(rows, key), computed once for each distinct combination of the inputs and joined back to every key."""
+    keyed = rows.select(*keys, *inputs, F.sha2(F.to_json(F.struct(*inputs)), 256).alias("_input"))
+    done = make(keyed.groupBy("_input").agg(*[F.first(c).alias(c) for c in inputs]), "_input")
+    return keyed.select(*keys, "_input").join(done, "_input").drop("_input")
+
+
 @query()
 def heuristic_split(spark, folder):
+    """Of the control molecules only; heuristic_split_all takes all."""
     return molecules.heuristic_split(table(spark, folder, "controls", ["protac_id", "protac_smiles"]), "protac_id", "protac_smiles", _e3_refs(spark, folder))
 
 
+@query()
+def heuristic_split_all(spark, folder):
+    return molecules.heuristic_split(_whole_molecules(spark, folder), "protac_id", "protac_smiles", _e3_refs(spark, folder))
+
+
 @query()
 def reassembly(spark, folder):
     return molecules.reassembly(table(spark, folder, "finetuning", ["sample_id", "labels", "text"]), "sample_id", "labels", "text")
@@ -512,7 +534,7 @@ def reassembly(spark, folder):
 
 @query()
 def edge_features(spark, folder):
-    return molecules.edge_features(table(spark, folder, "controls", ["protac_id", "protac_smiles"]), "protac_id", "protac_smiles")
+    return molecules.edge_features(_whole_molecules(spark, folder), "protac_id", "protac_smiles")
 
 
 @query()
@@ -578,29 +600,40 @@ def sessions(spark, folder):
 
 @query()
 def score_splits(spark, folder):
-    rows = table(spark, folder, "controls", ["protac_id", "protac_smiles", "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"])
-    rows = rows.withColumn("label", fr.join_roles(F.col("e3_binder_smiles_with_direction"), F.col("linker_smiles_with_direction"), F.col("poi_ligand_smiles_with_direction")))
+    cols = ["protac_id", "protac_smiles", *_LABELLED]
+    rows = table(spark, folder, "curated", ["row_id", *cols]).unionByName(table(spark, folder, "controls", cols), allowMissingColumns=True)
+    rows = rows.withColumn("label", fr.join_roles(*[F.col(c) for c in _LABELLED]))
     refs = table(spark, folder, "representatives", ["rep_id", "smiles", "is_warhead"]).orderBy("rep_id").limit(10_000).collect()
-    return scoring.score_splits(rows, "protac_id", "label", "protac_smiles", [r.smiles for r in refs if not r.is_warhead], [r.smiles for r in refs if r.is_warhead])
+    make = lambda rows, key: scoring.score_splits(rows, key, "label", "protac_smiles", [r.smiles for r in refs if not r.is_warhead], [r.smiles for r in refs if r.is_warhead])
+    return _once(rows, ["protac_id", "row_id"], ["label", "protac_smiles"], make)
+
+
+def _known_splits(spark, folder):
+    """(protac_id, protac_smiles, label) of controls and curated. Of a protac_id with several records in curated the one
+    with the smallest row_id counts, if possible of those with all three parts."""
+    cols = ["protac_id", "protac_smiles", *_LABELLED]
+    label = fr.join_roles(*[F.col(c) for c in _LABELLED]).alias("label")
+    controls = table(spark, folder, "controls", cols).select("protac_id", "protac_smiles", label, F.lit(0).alias("place"), F.lit(0).cast("long").alias("row_id"))
+    curated = table(spark, folder, "curated", ["row_id", *cols]).select("protac_id", "protac_smiles", label, F.lit(1).alias("place"), "row_id")
+    known = controls.union(curated).dropna(subset=["protac_id"])
+    return known.groupBy("protac_id").agg(F.min_by(F.struct("protac_smiles", "label"), F.struct("place", F.col("label").isNull(), "row_id")).alias("k")).select("protac_id", "k.*")
 
 
 def _labelled_predictions(spark, folder):
-    """Predictions of control molecules beside the known split; one of each different prediction."""
-    known = table(spark, folder, "controls", ["protac_id", "protac_smiles", "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"])
-    known = known.select("protac_id", "protac_smiles", fr.join_roles(F.col("e3_binder_smiles_with_direction"), F.col("linker_smiles_with_direction"), F.col("poi_ligand_smiles_with_direction")).alias("label"))
-    given = table(spark, folder, "predictions", ["pred_id", "protac_id", "default_pred_n0"]).join(known.select("protac_id"), "protac_id", "left_semi")
-    one = given.groupBy("protac_id", "default_pred_n0").agg(F.min("pred_id").alias("pred_id"))
-    return one.join(known, "protac_id")
+    """Every prediction beside its molecule and the known split."""
+    return table(spark, folder, "predictions", ["pred_id", "protac_id", "default_pred_n0"]).join(_known_splits(spark, folder), "protac_id", "left")
 
 
 @query()
 def score_predictions(spark, folder):
-    return scoring.score_predictions(_labelled_predictions(spark, folder), "pred_id", "protac_smiles", "label", "default_pred_n0")
+    make = lambda rows, key: scoring.score_predictions(rows, key, "protac_smiles", "label", "default_pred_n0")
+    return _once(_labelled_predictions(spark, folder), ["pred_id"], ["protac_smiles", "label", "default_pred_n0"], make)
 
 
 @query()
 def fix_predictions(spark, folder):
-    return scoring.repair(_labelled_predictions(spark, folder), "pred_id", "default_pred_n0", "protac_smiles")
+    make = lambda rows, key: scoring.repair(rows, key, "default_pred_n0", "protac_smiles")
+    return _once(_labelled_predictions(spark, folder), ["pred_id"], ["default_pred_n0", "protac_smiles"], make)
 
 
 @query()
@@ -615,13 +648,23 @@ def generated_molecules(spark, folder):
     return generate.generate(rows, "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction", 200)
 
 
+def _edge_classifier(rows):
+    edges = Scratch(rows.sparkSession).keep(learning.labelled_edges(rows, "protac_id", "protac_smiles", "label"))
+    top = learning.top_bonds(learning.fit_edges(edges), edges, "protac_id")
+    return top.join(edges.select("protac_id", "bond", "side"), ["protac_id", "bond"]).select("protac_id", "bond", "rank", "side")
+
+
 @query()
 def edge_classifier(spark, folder):
+    """Of the control molecules only; edge_classifier_all takes all."""
     rows = table(spark, folder, "controls", ["protac_id", "protac_smiles", "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"])
     rows = rows.withColumn("label", fr.join_roles(F.col("e3_binder_smiles_with_direction"), F.col("linker_smiles_with_direction"), F.col("poi_ligand_smiles_with_direction")))
-    edges = Scratch(spark).keep(learning.labelled_edges(rows, "protac_id", "protac_smiles", "label"))
-    top = learning.top_bonds(learning.fit_edges(edges), edges, "protac_id")
-    return top.join(edges.select("protac_id", "bond", "side"), ["protac_id", "bond"]).select("protac_id", "bond", "rank", "side")
+    return _edge_classifier(rows)
+
+
+@query()
+def edge_classifier_all(spark, folder):
+    return _edge_classifier(_known_splits(spark, folder).dropna())
 
 
 @query()

@@ -89,3 +89,18 @@ def test_attachment_groups(spark):
     got = {r.k: r.grp for r in scoring.attachment_groups(df, "k", "t", 2, 1).collect()}
     assert got == {1: "N(1C)", 2: None, 3: None}
     assert scoring.attachment_groups(df.limit(0).withColumn("t", F.col("t")), "k", "t", 2).count() == 0
+
+
+def test_every_row_is_scored(spark):
+    """Repeated and null predictions, and curated molecules beside controls."""
+    small = SF.replace("0.01", "0.001")
+    read = lambda n: spark.read.parquet(f"{small}/{n}.parquet")
+    want = sorted(r.pred_id for r in read("predictions").collect())
+    for name in ("score_predictions", "fix_predictions"):
+        assert sorted(r.pred_id for r in QUERIES[name](spark, small).select("pred_id").collect()) == want, name
+    molecules = {r.protac_id for n in ("curated", "controls") for r in read(n).collect() if r.protac_smiles and r.protac_id}
+    assert len(molecules) > 24
+    assert sorted(r.protac_id for r in QUERIES["heuristic_split_all"](spark, small).collect()) == sorted(molecules)
+    assert len({r.protac_id for r in QUERIES["edge_features"](spark, small).collect()}) > 0.9 * len(molecules)
+    assert QUERIES["score_splits"](spark, small).count() == read("curated").count() + read("controls").count()
+    assert {r.protac_id for r in QUERIES["edge_classifier_all"](spark, small).select("protac_id").collect()} > {r.protac_id for r in read("controls").collect()}
