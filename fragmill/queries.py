@@ -583,6 +583,15 @@ def tokenise(spark, folder):
     return rows.select("sample_id", t.alias("t")).select("sample_id", F.size("t").alias("n"), F.slice(F.concat("t", F.array_repeat(F.lit("<pad>"), 32)), 1, 32).alias("tokens"))
 
 
+@query(f"select sample_id, len(t)::int as n, list_resize(t, (select max(len(regexp_extract_all(text, '{_TOK}'))) from finetuning), '<pad>') as tokens from (select sample_id, regexp_extract_all(text, '{_TOK}') as t from finetuning where text is not null)")
+def tokenise_all(spark, folder):
+    """As tokenise, without its cut at 32 tokens: padded to the longest text of the table."""
+    rows = table(spark, folder, "finetuning", ["sample_id", "text"]).dropna()
+    rows = rows.select("sample_id", F.regexp_extract_all("text", F.lit(f"({_TOK})"), 1).alias("t")).select("sample_id", "t", F.size("t").alias("n"))
+    longest = rows.agg(F.max("n").alias("longest"))
+    return rows.crossJoin(F.broadcast(longest)).select("sample_id", "n", F.concat("t", F.array_repeat(F.lit("<pad>"), F.col("longest") - F.col("n"))).alias("tokens"))
+
+
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(avg(value) filter (not isnan(value)), 6) as mean from events group by 1, 2")
 def windowed_metrics(spark, folder):
     out = metrics.windowed_metrics(table(spark, folder, "events", ["ts", "event_type", "value"]), "ts", ["event_type"], "value")

@@ -104,3 +104,9 @@ def test_every_row_is_scored(spark):
     assert len({r.protac_id for r in QUERIES["edge_features"](spark, small).collect()}) > 0.9 * len(molecules)
     assert QUERIES["score_splits"](spark, small).count() == read("curated").count() + read("controls").count()
     assert {r.protac_id for r in QUERIES["edge_classifier_all"](spark, small).select("protac_id").collect()} > {r.protac_id for r in read("controls").collect()}
+
+
+def test_no_token_is_lost(spark):
+    rows = QUERIES["tokenise_all"](spark, SF).collect()
+    assert max(r.n for r in rows) > 32 and len({len(r.tokens) for r in rows}) == 1
+    assert all(sum(t != "<pad>" for t in r.tokens) == r.n for r in rows)
