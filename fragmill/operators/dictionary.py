@@ -131,20 +131,22 @@ def grow(pairs: DataFrame, seeds: DataFrame, most_steps: int = 50) -> DataFrame:
     """(item, step): items reached from the seeds through pairs (a, b), with the step at which each was; 0 for seeds in a pair.
 
     Each step joins only the items of the step before and its result is written, so that lineage does not grow. Ends
-    when a step finds nothing, or after ``most_steps``.
+    when a step finds nothing; RuntimeError if one after ``most_steps`` still finds items.
     """
     scratch = Scratch(pairs.sparkSession)
     both = pairs.select("a", "b").dropna().distinct()
     both = scratch.keep(both.union(both.select("b", "a")).distinct().toDF("a", "b"))
     known = scratch.keep(seeds.toDF("item").join(both.select(F.col("a").alias("item")).distinct(), "item", "left_semi").distinct().withColumn("step", F.lit(0)))
-    for step in range(1, most_steps + 1):
+    for step in range(1, most_steps + 2):
         last = known.filter(F.col("step") == step - 1).select(F.col("item").alias("a"))
         new = both.join(last, "a", "left_semi").select(F.col("b").alias("item")).distinct().join(known, "item", "left_anti")
         new = scratch.keep(new.withColumn("step", F.lit(step)))
         if new.isEmpty():
             return known
+        if step > most_steps:
+            break
         grown = scratch.keep(known.union(new))
         scratch.drop(known)
         scratch.drop(new)
         known = grown
-    return known
+    raise RuntimeError(f"items were still found after {most_steps} steps")

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from fragmill.chem import molecule as m
 from fragmill.chem.repair import repair
-from fragmill.operators import generate, learning, scoring
+from fragmill.operators import dictionary, generate, learning, scoring
 from fragmill.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -110,3 +110,11 @@ def test_no_token_is_lost(spark):
     rows = QUERIES["tokenise_all"](spark, SF).collect()
     assert max(r.n for r in rows) > 32 and len({len(r.tokens) for r in rows}) == 1
     assert all(sum(t != "<pad>" for t in r.tokens) == r.n for r in rows)
+
+
+def test_growth_is_not_cut_silently(spark):
+    pairs = spark.createDataFrame([(f"i{k}", f"i{k + 1}") for k in range(4)], "a string, b string")
+    seeds = spark.createDataFrame([("i0",)], "item string")
+    assert dictionary.grow(pairs, seeds, 4).count() == 5
+    with pytest.raises(RuntimeError):
+        dictionary.grow(pairs, seeds, 3)
