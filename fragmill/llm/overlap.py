@@ -1,11 +1,17 @@
-"""The same or nearly the same records across splits, by winnowing fingerprints.
+"""The same or nearly the same records across splits, by rolling-hash fingerprints.
 
-Of each record's pieces the rolling hashes of all k-character windows are taken, and of every w consecutive ones the
-smallest is a fingerprint; any shared stretch of w + k - 1 characters thus shares one. Fingerprints are joined across
-the splits. A fingerprint of a hot piece would join a third of all rows with a third, so each record joins only by its
-rarest ones: as near-same records differ in a few of theirs, they share one of the rarest half. On the pairs found,
-fingerprints are chained where their order agrees, extended to all characters that align, and the similarity is
-computed exactly.
+Candidates: two records are wanted when their sets of 4-character substrings are similar enough, so few of the rolling
+hashes of all 4-character windows may stand in one record only. The hashes are dealt to ``k // 3 + 1`` groups of five
+parts by their value; if at most k of them differ, some group has at most two parts with a difference (PartEnum, Arasu
+et al. 2006). Each record joins across the splits by the contents of any three parts of each group: every wanted pair
+shares such a key, and a pair that is much less similar hardly ever does. What still does falls to a bound from 256
+parities before texts are read. Single fingerprints would join all records that share a common piece, whose pairs grow
+with the square of the records.
+
+Alignment: of each record's pieces the rolling hashes of all k-character windows are taken, and of every w consecutive
+ones the smallest is a fingerprint (winnowing); any shared stretch of w + k - 1 characters thus shares one. On the pairs
+found, fingerprints are chained where their order agrees and extended to all characters that align, which gives the
+coverage; the similarity is computed exactly.
 
 Copies are one record throughout and come apart only in the result.
 """
@@ -26,7 +32,6 @@ from fragmill.plans.lineage import Scratch
 from fragmill.sources.tables import require
 
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_BITS = 18
 
 
 def windows(data: np.ndarray, k: int) -> np.ndarray:
@@ -87,44 +92,88 @@ def fingerprints(records: Sequence[Sequence[str]], k: int, w: int) -> tuple[np.n
     return row[new], value[new]
 
 
-def bucket(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - _BITS)).astype(np.int64)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _pieces(values: list[str]) -> list[list[str]]:
-    return [v.split(".") for v in values]
+def size_classes(n: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each size, greatest size of each class); the sizes of a class differ by a factor of up to 1 / threshold."""
+    tops, at = [], 1
+    while not tops or tops[-1] < n.max(initial=1) / threshold:
+        tops.append(max(at, int(at / threshold)))
+        at = tops[-1] + 1
+    return np.searchsorted(tops, n), np.array(tops)
 
 
-def _tally(batches: Iterator[pa.RecordBatch], k: int, w: int) -> Iterator[pa.RecordBatch]:
-    """How many records of this partition hold a fingerprint of each bucket: a table of fixed size."""
-    total = np.zeros(1 << _BITS, np.int64)
-    for batch in batches:
-        _, value = fingerprints(_pieces(batch.column(0).to_pylist()), k, w)
-        total += np.bincount(bucket(value), minlength=total.size)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+def _sets(pieces: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(record number, substring), each once."""
+    codes, starts = grams.flatten(pieces)
+    held = np.unique(np.repeat(np.arange(len(pieces), dtype=np.uint64), np.diff(starts)) << np.uint64(32) | codes.astype(np.uint64))
+    return (held >> np.uint64(32)).astype(np.int64), held & np.uint64(0xFFFFFFFF)
+
+
+def shared_keys(pieces: Sequence[Sequence[str]], threshold: float, wide: bool, parts: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(record number, key): two records of ``threshold`` or more share a key if one of them, not both, is ``wide``.
+
+    A record has the keys of the class of its size; a wide one has those of all classes that similar records may have.
+    In a class whose greatest size is u, similar records differ in at most u (1 - t) / t substrings.
+    """
+    row, code = _sets(pieces)
+    n = np.bincount(row, minlength=len(pieces))
+    own, tops = size_classes(n, threshold)
+    low, high = (size_classes(f(n), threshold)[0] for f in (lambda x: np.ceil(x * threshold - 1e-9).astype(np.int64), lambda x: np.floor(x / threshold + 1e-9).astype(np.int64))) if wide else (own, own)
+    part, value = _mix(code * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), _mix(code * np.uint64(0xD6E8FEB86659FD93) + np.uint64(2))
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for c in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
+        mine = np.flatnonzero((n > 0) & (low <= c) & (c <= high))
+        if not mine.size:
+            continue
+        groups = int(tops[c] * (1 - threshold) / threshold + 1e-9) // 3 + 1
+        place = np.full(n.size, -1)
+        place[mine] = np.arange(mine.size)
+        use = place[row] >= 0
+        at = place[row[use]] * (parts * groups) + (part[use] % np.uint64(parts * groups)).astype(np.int64)
+        contents = np.zeros(mine.size * parts * groups, np.uint64)
+        np.add.at(contents, at, value[use])
+        contents = _mix(contents.reshape(mine.size, parts * groups) + np.arange(parts * groups, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(mine.size, groups, parts)
+        x, y = np.triu_indices(parts, 1)  # the two parts a key leaves out
+        salt = _mix(np.arange(x.size * groups, dtype=np.uint64) + np.uint64(c << 32) + np.uint64(7)).reshape(groups, x.size)
+        keys.append(_mix((contents.sum(2, keepdims=True, dtype=np.uint64) - contents[:, :, x] - contents[:, :, y]) ^ salt).ravel())
+        rows.append(np.repeat(mine, x.size * groups))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+WORDS = 4
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (field, h, value): (field, h, n, w0 to w3): how many substrings a record has, and for each of 256 classes of
+    substrings whether it holds an odd number of them. Two records differ in at least as many as these bits do."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 1000):
+            batch = whole.slice(lo, 1000)
+            row, code = _sets(_pieces(batch.column(2).to_pylist()))
+            at = (_mix(code + np.uint64(3)) >> np.uint64(64 - 8)).astype(np.int64)
+            odd = np.bincount(row * 64 * WORDS + at, minlength=batch.num_rows * 64 * WORDS) & 1
+            words = np.packbits(odd.astype(np.uint8).reshape(batch.num_rows, -1), axis=1).view(np.int64)
+            n = np.bincount(row, minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), *[pa.array(words[:, j].copy()) for j in range(WORDS)]], names=["field", "h", "n", *[f"w{j}" for j in range(WORDS)]])
+
+
+def _pieces(values: list[str]) -> list[list[str]]:
+    return [v.split(".") for v in values]
 
 
-def _rarest(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, k: int, w: int, share: float) -> Iterator[pa.RecordBatch]:
-    """Of (field, record, train, other, value): the rarest fingerprints of each record, with its size and sketch."""
-    signer = grams.Signer(128)
+def _keyed(batches: Iterator[pa.RecordBatch], threshold: float, wide: bool) -> Iterator[pa.RecordBatch]:
+    """Of (field, h, value): (field, h, key)."""
     for whole in batches:
-        for lo in range(0, whole.num_rows, 2000):
-            batch = whole.slice(lo, 2000)
-            pieces = _pieces(batch.column(4).to_pylist())
-            codes, starts = grams.flatten(pieces)
-            sketch = grams.sketch(signer.sign(codes, starts))
-            size = np.array([np.unique(codes[a:b]).size for a, b in zip(starts[:-1], starts[1:], strict=True)], np.int32)
-            row, value = fingerprints(pieces, k, w)
-            keep = size[row] > 0
-            row, value = row[keep], value[keep]
-            order = np.lexsort((value, frequency[bucket(value)], row))
-            row, value = row[order], value[order]
-            first = np.searchsorted(row, row)
-            held = np.bincount(row, minlength=len(pieces))
-            use = np.arange(row.size) - first < np.ceil(held[row] * share) + 1
-            at = pa.array(row[use])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(value[use].view(np.int64)), pa.array(size[row[use]]), pa.array(sketch[row[use], 0].copy()), pa.array(sketch[row[use], 1].copy())], names=["field", "record", "train", "other", "seed", "size", "s0", "s1"])
+        for lo in range(0, whole.num_rows, 1000):
+            batch = whole.slice(lo, 1000)
+            row, key = shared_keys(_pieces(batch.column(2).to_pylist()), threshold, wide)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key.view(np.int64))], names=["field", "h", "key"])
 
 
 def align(x: list[str], y: list[str], k: int, w: int) -> tuple[int, int, int]:
@@ -212,37 +261,33 @@ def _aligned(batches: Iterator[pa.RecordBatch], threshold: float, k: int, w: int
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(sims, pa.float64()), *columns], names=names)
 
 
-def overlaps(df: DataFrame, id_col: str, fields: Sequence[str], split: str, train: str = "train", threshold: float = 0.9, k: int = 16, w: int = 12, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def overlaps(df: DataFrame, id_col: str, fields: Sequence[str], split: str, train: str = "train", threshold: float = 0.9, k: int = 16, w: int = 12) -> tuple[DataFrame, DataFrame]:
     """(links, members). links: (field, a, b, similarity, anchors, covered_a, covered_b) of records of the train split (a)
     and of any other split (b) whose sets of 4-character substrings, over the pieces between the dots of the folded
     field, have a similarity of ``threshold`` or more; covered are the shares of their characters that align. members:
     (field, record, id, is_train) says which rows state a record.
 
-    Null and blank values and those without a piece of four characters match nothing. A null split is another split
+    No link is missed. Null and blank values and those without a piece of four characters match nothing. A null split is another split
     than train. Rows with a null id are left out. Other columns are ignored.
     """
     require(df, [id_col, split, *fields])
-    spark, scratch = df.sparkSession, Scratch(df.sparkSession)
+    scratch = Scratch(df.sparkSession)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), fold(F.col(f"`{f}`")).alias("value")) for i, f in enumerate(fields)]))
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{split}`") == train, F.lit(False)).alias("is_train"), each.alias("e")).select("id", "is_train", "e.field", "e.value")
     rows = rows.filter((F.length("value") >= grams.N) & F.col("id").isNotNull()).withColumn("record", fingerprint128("value"))
     classes = rows.groupBy("field", "record", "value").agg(F.max(F.col("is_train").cast("int")).alias("train"), F.max((~F.col("is_train")).cast("int")).alias("other"))
-    classes = scratch.keep(classes.select("field", "record", "train", "other", "value"))
-    counted = classes.select("value").mapInArrow(lambda it: _tally(it, k, w), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(1 << _BITS, np.int64)
-    table = counted.toArrow()  # of a fixed size, whatever the number of records
-    frequency[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    held = spark.sparkContext.broadcast(frequency)
-    seeds = scratch.keep(classes.mapInArrow(lambda it: _rarest(it, held.value, k, w, share), "field int, record binary, train int, other int, seed long, size int, s0 long, s1 long"))
-    left = seeds.filter("train = 1").select("field", "seed", F.col("record").alias("a"), F.col("size").alias("na"), F.col("s0").alias("a0"), F.col("s1").alias("a1"))
-    right = seeds.filter("other = 1").select("field", "seed", F.col("record").alias("b"), F.col("size").alias("nb"), F.col("s0").alias("b0"), F.col("s1").alias("b1"))
-    p = (1 + threshold) / 2
-    least = int(128 * p - 6 * (128 * p * (1 - p)) ** 0.5)
-    agree = F.lit(128) - F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) - F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
-    fits = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold) & (agree >= least)
-    pairs = left.join(right, ["field", "seed"]).filter(fits).select("field", "a", "b").distinct()
-    value = lambda c, v: classes.select("field", F.col("record").alias(c), F.col("value").alias(v))
-    texts = pairs.join(value("a", "x"), ["field", "a"]).join(value("b", "y"), ["field", "b"]).select("field", "a", "b", "x", "y")
+    # Records are joined by 64 bits; should two have the same, both are compared.
+    classes = scratch.keep(classes.select("field", "record", F.xxhash64("value").alias("h"), "train", "other", "value"))
+    side = lambda c, wide: classes.filter(f"{c} = 1").select("field", "h", "value").mapInArrow(lambda it: _keyed(it, threshold, wide), "field int, h long, key long")
+    left, right = side("train", False).withColumnRenamed("h", "ha"), side("other", True).withColumnRenamed("h", "hb")
+    marks = scratch.keep(classes.select("field", "h", "value").mapInArrow(_marked, "field int, h long, n long, " + ", ".join(f"w{j} long" for j in range(WORDS))))
+    of = lambda c: marks.select("field", F.col("h").alias(f"h{c}"), *[F.col(x).alias(f"{x}{c}") for x in ("n", *(f"w{j}" for j in range(WORDS)))])
+    apart = sum((F.bit_count(F.col(f"w{j}a").bitwiseXOR(F.col(f"w{j}b"))) for j in range(1, WORDS)), F.bit_count(F.col("w0a").bitwiseXOR(F.col("w0b"))))
+    most = (F.col("na") + F.col("nb")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+    pairs = left.join(right, ["field", "key"]).select("field", "ha", "hb").distinct()
+    pairs = pairs.join(of("a"), ["field", "ha"]).join(of("b"), ["field", "hb"]).filter(apart <= most).select("field", "ha", "hb").distinct()
+    value = lambda c, v, flag: classes.filter(f"{flag} = 1").select("field", F.col("h").alias(f"h{c}"), F.col("record").alias(c), F.col("value").alias(v))
+    texts = pairs.join(value("a", "x", "train"), ["field", "ha"]).join(value("b", "y", "other"), ["field", "hb"]).select("field", "a", "b", "x", "y")
     links = scratch.keep(texts.mapInArrow(lambda it: _aligned(it, threshold, k, w), "field int, a binary, b binary, similarity double, anchors int, covered_a double, covered_b double"))
     return links, rows.select("field", "record", "id", "is_train")
 

@@ -48,6 +48,46 @@ def test_orders_copies_nulls_short_and_long(spark):
     assert O.pairs(df.limit(0), "sample_id", ["text"], "split_name").count() == 0
 
 
+def test_similar_records_share_a_key():
+    """No pair at or above the threshold is without a common key, whichever side is wide and whatever the sizes."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("cnospf()=#123456789") for _ in range(n))
+    seen = 0
+    for threshold in (0.7, 0.9, 0.95):
+        for _ in range(400):
+            x = word(rng.choice([4, 5, 6, 9, 15, 40, 120, 300]))
+            y = list(x)
+            for _ in range(rng.randrange(1 + len(x) // 25)):
+                at = rng.randrange(len(y))
+                y[at : at + rng.randrange(2)] = word(rng.randrange(2))
+            y = "".join(y) + word(rng.choice([0, 0, 1, 2, len(x) // 9]))
+            a, b = grams.gram_set([x]), grams.gram_set([y])
+            if a and b and grams.similarity(a, b) >= threshold:
+                seen += 1
+                for one, two in ((x, y), (y, x)):
+                    assert set(O.shared_keys([[one]], threshold, False)[1]) & set(O.shared_keys([[two]], threshold, True)[1])
+    assert seen > 300
+
+
+def test_candidates_grow_with_the_records():
+    """Pairs that reach the comparison of texts stay in proportion to true pairs from one scale to the next."""
+    import pyarrow.parquet as pq
+
+    from tests.llm.test_splits import fold
+
+    ratio = []
+    for sf in ("sf0.01", "sf0.1"):
+        rows = pq.read_table(f"/root/testdata/{sf}/finetuning.parquet", columns=["text", "split_name"]).to_pylist()
+        one, two = (sorted({fold(r["text"]) for r in rows if (r["split_name"] == "train") == train} - {""}) for train in (True, False))
+        by: dict = {}
+        for n, key in zip(*O.shared_keys([v.split(".") for v in one], 0.9, False), strict=True):
+            by.setdefault(key, []).append(n)
+        met = {(a, b) for b, key in zip(*O.shared_keys([v.split(".") for v in two], 0.9, True), strict=True) for a in by.get(key, ())}
+        sims = grams.pair_similarities([one[a] for a, _ in met], [two[b] for _, b in met], True)
+        ratio.append((sims >= 0.7).sum() / (sims >= 0.9).sum())
+    assert ratio[1] <= 2 * ratio[0]
+
+
 def test_winnowing_shares_any_long_stretch():
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("cnosp()=123456789") for _ in range(n))
