@@ -25,21 +25,23 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _ENCODERS: dict[str, object] = {}
 
 
-def encoder(vocabulary: str):
-    """The tokenizer of a rank file, one a process."""
+def encoder(vocabulary: str, sent: bool = False):
+    """The tokenizer of a rank file, one a process; with ``sent``, of the copy that the session sent to its executors."""
     if vocabulary not in _ENCODERS:
         import base64
+        import os
 
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(os.path.basename(vocabulary)) if sent else vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _ENCODERS[vocabulary] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _ENCODERS[vocabulary]
 
 
 def _count(batches: Iterator[pa.RecordBatch], vocabulary: str, at: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(vocabulary).encode_ordinary
+    encode = encoder(vocabulary, True).encode_ordinary
     for batch in batches:
         n = np.fromiter((len(encode(t)) if t else 0 for t in batch.column(at).to_pylist()), np.int64, batch.num_rows)
         columns = [batch.column(i) for i in range(batch.num_columns) if i != at] + [pa.array(n)]
@@ -48,8 +50,9 @@ def _count(batches: Iterator[pa.RecordBatch], vocabulary: str, at: int) -> Itera
 
 
 def token_counts(df: DataFrame, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """df with ``n_tokens`` in place of its text; null has none."""
+    """df with ``n_tokens`` in place of its text; null has none. The rank file is sent to the executors."""
     require(df, [text])
+    df.sparkSession.sparkContext.addFile(vocabulary)
     from pyspark.sql import types as T
 
     at = df.columns.index(text)
@@ -127,19 +130,23 @@ class Mixture:
         finish = ((F.col("copy") - 1) * F.col("size") + F.col("cumulative")) / F.col("weight")
         return taken.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "n_tokens", finish.alias("finish")).orderBy("finish", "source", "doc_id", "copy")
 
-    def drained(self) -> DataFrame:
-        """(source, target_share, max_repeats, size, last_finish, short): short where the queue runs dry before the budget is due."""
-        last = self.queue().groupBy("source").agg(F.max("cumulative").alias("once"))
-        t = self._targets().join(last, "source", "left")
-        all_of_it = F.coalesce("once", F.lit(0)) * F.col("max_repeats")
-        due = F.col("weight") * F.lit(float(self.budget))
-        return t.select("source", "target_share", "max_repeats", "size", F.when(F.col("weight") > 0, all_of_it / F.col("weight")).alias("last_finish"), (all_of_it < due).alias("short"))
+    def reached(self) -> DataFrame:
+        """(source, target_share, max_repeats, tokens, documents, copies, short) for each listed source, by its rows of the mixture.
+
+        A source is short where the mixture holds all its copies and they are less than what is due to it: its last
+        finish time comes before the budget, and the cut never does.
+        """
+        got = self.documents().groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.sum((F.col("copy") == 1).cast("long")).alias("documents"), F.count(F.lit(1)).alias("copies"))
+        held = [(s, float(p["weight"] * self.budget), int(p["n"] * p["max_repeats"]), int(p["size"])) for s, p in self.plan.items()]
+        due = self.spark.createDataFrame(held, "source string, due double, most_copies long, size long")
+        n = lambda c: F.coalesce(c, F.lit(0))
+        t = self._targets().drop("size").join(F.broadcast(due), "source").join(got, "source", "left")
+        all_given = (n("copies") == F.col("most_copies")) | (F.col("size") == 0)
+        return t.select("source", "target_share", "max_repeats", n("tokens").alias("tokens"), n("documents").alias("documents"), n("copies").alias("copies"), (all_given & (n("tokens") < F.col("due"))).alias("short"))
 
     def shares(self) -> DataFrame:
         """(source, target_share, reached_share, tokens, documents, copies, short) for each listed source."""
         from pyspark.sql import Window as W
 
-        got = self.documents().groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("copies"))
-        n = lambda c: F.coalesce(c, F.lit(0))
-        joined = self.drained().select("source", "target_share", "short").join(got, "source", "left").withColumn("all_tokens", F.sum(n("tokens")).over(W.partitionBy(F.lit(0))))
-        return joined.select("source", "target_share", F.coalesce(F.try_divide(n("tokens"), F.col("all_tokens")), F.lit(0.0)).alias("reached_share"), n("tokens").alias("tokens"), n("documents").alias("documents"), n("copies").alias("copies"), "short")
+        total = F.sum("tokens").over(W.partitionBy(F.lit(0)))  # at most ``most_sources`` rows
+        return self.reached().select("source", "target_share", F.coalesce(F.try_divide("tokens", total), F.lit(0.0)).alias("reached_share"), "tokens", "documents", "copies", "short")

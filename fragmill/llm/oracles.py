@@ -22,6 +22,13 @@ g as (select distinct sample_id, train, f, substr(p, i::int, 4) as g from (selec
 n as (select sample_id, f, count(*) as n from g group by 1, 2),
 b as (select x.sample_id as a, y.sample_id as b, x.f as f, count(*) as k from g x join g y on x.f = y.f and x.g = y.g where x.train and not coalesce(y.train, false) group by 1, 2, 3)
 select distinct least(a, b) as sample_a, greatest(a, b) as sample_b from b join n na on na.sample_id = a and na.f = b.f join n nb on nb.sample_id = b and nb.f = b.f where k >= 0.9 * (na.n + nb.n - k)""",
+    "p5_found": f"""with recursive part as (select sample_id as rec, unnest(string_split({_FOLD.format('labels')}, '.')) as p from finetuning),
+ent as (select row_id as rec, 'e' || {_FOLD.format('e3_binder_smiles_with_direction')} as k from curated union select row_id, 'p' || {_FOLD.format('poi_ligand_smiles_with_direction')} from curated
+union select rec, case when contains(p, '[*:2]') then 'e' else 'p' end || p from part where contains(p, '[*:2]') <> contains(p, '[*:1]')),
+known as (select rec, k from ent where len(k) > 1), least as (select k, min(rec) as m from known group by 1), adj as (select distinct a.k, b.k as other from known a join known b using (rec)),
+reach(k, other) as (select k, k from least union select r.k, a.other from reach r join adj a on a.k = r.other),
+label as (select reach.k, min(m) as group_id from reach join least l on l.k = reach.other group by 1), member as (select distinct rec, group_id from known join label using (k))
+select rec as rec_id, group_id from member where group_id in (select group_id from member group by 1 having count(*) > 1)""",
     "p6_found": f"select distinct doc_id, item_id from ({_runs('doc_id', 'text', 'documents')}) join ({_runs('item_id', 'item_text', 'heldout_items')}) using (run)",
     "p7_found": "with s as (select t.source, t.target_share, t.max_repeats, coalesce(sum(length(text)), 0) as size from mix_targets t left join documents d using (source) group by all) select source from s where size * max_repeats < target_share * (select sum(size) from s)",
 }

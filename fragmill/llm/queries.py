@@ -67,6 +67,10 @@ def p5_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign(_entities(spark, folder), {"train": 0.8, "validation": 0.1, "test": 0.1})
 
 
+def p5_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.shares(p5_splits(spark, folder))
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents", ["doc_id", "text"]), table(spark, folder, "heldout_items", ["item_id", "item_text"]))
 
@@ -84,7 +88,7 @@ def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _mixture(spark, folder).drained().filter("short").select("source")
+    return _mixture(spark, folder).reached().filter("short").select("source")
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,4 +107,4 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.repair(table(spark, folder, "documents", ["doc_id", "text", "lang"]))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_clusters, p4_found, p4_report, p5_found, p5_splits, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_clusters, p4_found, p4_report, p5_found, p5_splits, p5_shares, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}

@@ -37,7 +37,7 @@ def test_queues_that_run_dry_leave_their_share_to_others(spark):
     docs = spark.createDataFrame([(i, "word " * 5, "a") for i in range(100)] + [(500, "word", "b")], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 2), ("gone", 0.1, 1)], "source string, target_share double, max_repeats int")
     m = M.Mixture(docs, targets, budget=800)
-    assert {r.source: r.short for r in m.drained().collect()} == {"a": False, "b": True, "gone": True}
+    assert {r.source: r.short for r in m.reached().collect()} == {"a": False, "b": True, "gone": True}
     rows = m.documents().collect()
     assert sum(r.source == "b" for r in rows) == 2 and sum(r.n_tokens for r in rows) > 780
 

@@ -85,3 +85,24 @@ def test_rendezvous_meets_shares_and_moves_little(spark):
     assert all(r.a == r.b or r.b == "extra" for r in a)
     with pytest.raises(ValueError, match="positive"):
         S.rendezvous(F.col("g"), {"train": 0})
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_shares_are_met_on_the_tables(spark, sf):
+    share = {r.split: r.share for r in Q.p5_shares(spark, f"/root/testdata/{sf}").collect()}
+    assert abs(share["train"] - 0.8) < 0.01 and abs(share["validation"] - 0.1) < 0.01 and abs(share["test"] - 0.1) < 0.01
+
+
+def test_large_groups_go_where_most_is_due(spark):
+    where, due = S.placed_first([(30, 1), (30, 2), (5, 3), (5, 4)], {"a": 0.6, "b": 0.4}, 100)
+    assert where == {1: "a", 2: "b", 3: "a", 4: "a"} and due == {"a": 20.0, "b": 10.0}
+    rows = [(i, ["hot"]) for i in range(3000)] + [(3000 + i, [f"g{i // 3}"]) for i in range(6000)] + [(9000 + i, None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "rec_id long, entities array<string>")
+    for large in (1e-4, 1e-2):  # with the second only the hot group is placed first, all others by rendezvous
+        got = S.assign(df, {"train": 8, "validation": 1, "test": 1}, large=large).collect()
+        n = Counter(r.split for r in got)
+        assert len(got) == 10000 and abs(n["train"] / 10000 - 0.8) < 0.02 and abs(n["test"] / 10000 - 0.1) < 0.02
+        assert len({r.split for r in got if r.rec_id < 3000}) == 1
+    assert S.assign(df.limit(0), {"train": 1}).count() == 0 and S.shares(S.assign(df.limit(0), {"train": 1})).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        S.assign(df, {})
