@@ -1,8 +1,9 @@
 """Rows that fail to parse: separated from the loadable ones, with the reason.
 
-From a record schema one anchored pattern for whole rows is generated. Rows it matches are done but for the two
-properties no pattern can state (balanced parentheses, even ring numbers). Rows it misses pass through the prefix
-patterns of the same schema, one field longer each, which find the first broken field.
+From a record schema one anchored pattern for whole rows is generated. Rows it matches have the right fields, and it
+captures the judged ones, whose syntax is then checked as far as no pattern can state it (balanced parentheses, even
+ring numbers). Only rows it misses pass through prefix patterns of the same schema, one field longer each: the first
+that misses names the broken field, and what it leaves over is the reason.
 
 All patterns use possessive character classes and no repeated group, so their cost is linear and their stack use
 constant for rows of any length.
@@ -29,7 +30,18 @@ ELEMENTS = (
 #: Symbols written in lower case in aromatic rings.
 AROMATIC = ["se", "as", "te", "b", "c", "n", "o", "p", "s"]
 
-_SYMBOL = "|".join(sorted([*ELEMENTS, *AROMATIC], key=lambda x: (-len(x), x)))
+
+
+def _symbols(names: list[str]) -> str:
+    """A pattern of all names, one class of second letters for each first letter."""
+    second: dict[str, set[str]] = {}
+    for x in names:
+        second.setdefault(x[0], set()).add(x[1:])
+    made = (k + (f"[{''.join(sorted(v - {''}))}]" if v - {""} else "") + ("?" if "" in v and v - {""} else "") for k, v in sorted(second.items()))
+    return "|".join(made)
+
+
+_SYMBOL = _symbols([*ELEMENTS, *AROMATIC])
 _BRACKET = rf"\[[0-9]*(?:{_SYMBOL}|\*)@{{0,2}}(?:H[0-9]*)?(?:[+-][0-9]+|\++|-+)?(?::[0-9]+)?\]"
 _SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
 
@@ -77,6 +89,7 @@ PREDICTION = RecordSchema(
 _ANY = rf"(?:{_PAIR}*+\"[^\"]*+\"|{_PAIR}++|[^\",{_PAIR}]*+)"
 _CHARS = r"[-A-Za-z0-9*\[\]()=#:/\\@+%.]"
 _MOLECULE = rf"(?:\"{_SPACE}*+{_CHARS}++{_SPACE}*+\"|{_SPACE}*+{_CHARS}++{_SPACE}*+)"
+_OUTSIDE = r"[^-A-Za-z0-9*\[\]()=#:/\\@+%.]++"
 _SPLIT = rf"(?:\"{_SPACE}*+{_CHARS}*+{_SPACE}*+\"|{_PAIR}|{_SPACE}*+{_CHARS}*+{_SPACE}*+)"
 _PATTERN = {"any": _ANY, "molecule": _MOLECULE, "split": _SPLIT}
 
@@ -86,6 +99,16 @@ def row_pattern(schema: RecordSchema) -> str:
     return r"\A" + "".join(_PATTERN[f.kind] + "," for f in schema.fields) + r"\z"
 
 
+def captured_pattern(schema: RecordSchema, at: int) -> str:
+    """The anchored pattern of a whole record that captures one field with its comma."""
+    return r"\A" + "".join(f"({_PATTERN[f.kind]},)" if i == at else _PATTERN[f.kind] + "," for i, f in enumerate(schema.fields)) + r"\z"
+
+
+def shape_pattern(fields: int) -> str:
+    """The pattern of the first fields of any record, by quoting alone."""
+    return r"\A" + (_ANY + ",") * fields
+
+
 def prefix_patterns(schema: RecordSchema) -> list[str]:
     """Patterns of the first 1, 2, ... fields; the first that misses names the first broken field."""
     parts = [_PATTERN[f.kind] + "," for f in schema.fields]
@@ -103,25 +126,45 @@ def skeleton(value: Column) -> Column:
     return F.translate(bare, "BCNOPSFIbcnops*A", "A" * 15 + "!")
 
 
-def skeleton_ok(bare: Column) -> Column:
-    """Whether a skeleton is well-formed. Use on a column or lambda variable: it is referred to many times."""
-    shape = bare.rlike(r"\A[/\\]*+A") & ~bare.rlike(r"[^-A0-9()=#:/\\.%]|%(?![0-9]{2})|\(\)|[-=#:/\\.]\z")
-    # Parentheses alone; innermost pairs are taken out a few times, and only deeper nesting is counted through.
-    pairs = F.regexp_replace(bare, r"[^()]++", "")
+_SHAPE = r"(?:\A|\|)(?![/\\]*+A)|[^-A0-9()=#:/\\.%|]|%(?![0-9]{2})|\(\)|[-=#:/\\.](?:\||\z)"
+
+
+def _pairs(bare: Column) -> Column:
+    """The parentheses of a skeleton less innermost pairs, taken out a few times."""
+    out = F.translate(bare, "A0123456789=#:/\\.%-", "")
     for _ in range(4):
-        pairs = F.replace(pairs, F.lit("()"), F.lit(""))
-    step = lambda c: F.when(c == "(", 1).otherwise(-1)
+        out = F.replace(out, F.lit("()"), F.lit(""))
+    return out
+
+
+def _balanced(pairs: Column) -> Column:
+    """Whether nothing but boundaries is left of the parentheses; only deeper nesting is counted through."""
+    step = lambda c: F.when(c == "(", 1).when(c == ")", -1).otherwise(0)
     deep = F.aggregate(
         F.split(pairs, ""),
         F.struct(F.lit(0).alias("d"), F.lit(0).alias("m")),
-        lambda a, c: F.struct((a["d"] + step(c)).alias("d"), F.least(a["m"], a["d"] + step(c)).alias("m")),
+        lambda a, c: F.struct((a["d"] + step(c)).alias("d"), F.when((c == "|") & (a["d"] != 0), -1).otherwise(F.least(a["m"], a["d"] + step(c))).alias("m")),
         lambda a: (a["d"] == 0) & (a["m"] == 0),
     )
-    balanced = F.when(pairs == "", F.lit(True)).otherwise(deep)
-    # Ring numbers sorted and joined; equal neighbours cancel, so nothing is left when each occurs evenly. %01 is 1.
+    return F.when(pairs.isin("", "||"), F.lit(True)).otherwise(deep)
+
+
+def _even(digits: Column) -> Column:
+    """Whether each digit occurs evenly."""
+    odd = lambda d: (F.length(digits) - F.length(F.replace(digits, F.lit(d), F.lit("")))) % 2 == 1
+    return ~reduce(lambda x, y: x | y, map(odd, "1234567890"))
+
+
+def _even_rings(bare: Column) -> Column:
+    """Whether each ring number of a skeleton without boundaries occurs evenly; %01 is 1."""
+    # Sorted and joined, equal neighbours cancel, so nothing is left when each occurs evenly.
     rings = F.transform(F.regexp_extract_all(bare, F.lit(r"(%[0-9]{2}|[0-9])"), 1), lambda t: F.lpad(F.ltrim(t, F.lit("%")), 2, "0"))
-    paired = F.regexp_replace(F.concat(F.array_join(F.sort_array(rings), ","), F.lit(",")), r"([0-9]{2}),\1,", "")
-    return shape & balanced & paired.isin("", ",")
+    return F.regexp_replace(F.concat(F.array_join(F.sort_array(rings), ","), F.lit(",")), r"([0-9]{2}),\1,", "").isin("", ",")
+
+
+def skeleton_ok(bare: Column) -> Column:
+    """Whether a skeleton is well-formed. Use on a column or lambda variable: it is referred to many times."""
+    return ~bare.rlike(_SHAPE) & ~F.contains(bare, F.lit("|")) & _balanced(_pairs(bare)) & _even_rings(bare)
 
 
 def well_formed(value: Column) -> Column:
@@ -129,13 +172,13 @@ def well_formed(value: Column) -> Column:
     return F.coalesce(F.forall(F.array(skeleton(value)), skeleton_ok), F.lit(False))
 
 
-def molecules(value: Column, kind: str) -> Column:
-    """The strings of a field that must each be well-formed; a split molecule of wrong shape gives one that isn't."""
+def joined(value: Column, kind: str) -> Column:
+    """A judged value as one string whose molecules stand between bars; "!" for a split molecule of wrong shape."""
     if kind == "molecule":
-        return F.array(value)
-    parts = F.split(value, r"\.")
-    labels = (F.regexp_count(value, F.lit(r"\[\*:1\]")) == 2) & (F.regexp_count(value, F.lit(r"\[\*:2\]")) == 2)
-    return F.when(value == "", F.array().cast("array<string>")).when((F.size(parts) == 3) & labels, parts).otherwise(F.array(F.lit("")))
+        return value
+    n = lambda x: F.length(value) - F.length(F.replace(value, F.lit(x), F.lit("")))
+    shape = (n(".") == 2) & (n("[*:1]") == 10) & (n("[*:2]") == 10)
+    return F.when((value == "") | shape, F.translate(value, ".", "|")).otherwise(F.lit("!"))
 
 
 def _fields(text: Column) -> Column:
@@ -172,47 +215,72 @@ def judge(df: DataFrame, schemas: tuple[RecordSchema, ...] = (CURATED, PREDICTIO
         return out.otherwise(other)
 
     staged = _bind(df, _text=text)
-    t = F.col("_text")
-    staged = _bind(staged, _whole=F.col(raw).isNotNull() & by_feed(lambda s: t.rlike(row_pattern(s)), F.lit(False)), parsed=_fields(t))
-    at = lambda i: F.coalesce(F.get(F.col("parsed"), F.lit(i)), F.lit(""))
-
-    def numbered(i: int):
-        return lambda m: F.struct(F.lit(i + 1).alias("i"), skeleton(m).alias("bare"))
-
-    def strings(s: RecordSchema) -> Column:
-        held = [F.transform(molecules(strip_space(at(i)), f.kind), numbered(i)) for i, f in enumerate(s.fields) if f.kind != "any"]
-        none = F.array().cast("array<struct<i:int,bare:string>>")
-        return F.when(F.size("parsed") == len(s.fields), F.concat(none, *held)).otherwise(none)
-
-    # The first judged field that is not well-formed, 0 if there is none; only for records of the right width.
-    staged = _bind(staged, _bare=by_feed(strings, F.array().cast("array<struct<i:int,bare:string>>")))
-    bad = F.filter("_bare", lambda x: ~F.coalesce(skeleton_ok(x["bare"]), F.lit(False)))
-    staged = _bind(staged, _bad=F.coalesce(F.get(bad, F.lit(0))["i"], F.lit(0)))
-
-    # Whole-row matches need only the value check; the rest is told apart by what the field patterns leave over.
-    good_quotes = F.regexp_replace(t, rf"\G{_ANY},", "") == ""
-    count = by_feed(lambda s: F.size("parsed") == len(s.fields), F.lit(False))
-    known = name.isin(*[s.feed for s in schemas])
-    valid = F.col("_bad") == 0
+    t, none = F.col("_text"), F.lit(None).cast("string")
+    # The whole-row pattern captures the judged fields with their comma, so what is captured is empty only where it misses.
+    judged = {s.feed: [i for i, f in enumerate(s.fields) if f.kind != "any"] for s in schemas}
+    most = max([len(x) for x in judged.values()] + [1])
+    cells = range(most)
+    cell = lambda j: by_feed(lambda s: F.regexp_extract(t, captured_pattern(s, (judged[s.feed] + [0] * most)[j]), 1), F.lit(""))
+    staged = _bind(staged, **{f"_cell{j}": F.when(F.col(raw).isNotNull(), cell(j)).otherwise(F.lit("")) for j in cells})
+    whole = F.col("_cell0") != ""
+    value = lambda j: F.regexp_replace(F.col(f"_cell{j}"), _OUTSIDE, "")
+
+    def string(j: int) -> Column:
+        return by_feed(lambda s: joined(F.col(f"_value{j}"), s.fields[judged[s.feed][j]].kind) if j < len(judged[s.feed]) else F.lit(""), F.lit(""))
+
+    staged = _bind(staged, **{f"_value{j}": F.when(whole, value(j)).otherwise(none) for j in cells})
+    staged = _bind(staged, **{f"_bare{j}": skeleton(string(j)) for j in cells})
+    staged = _bind(staged, **{f"_pairs{j}": _pairs(F.col(f"_bare{j}")) for j in cells}, **{f"_rings{j}": F.translate(f"_bare{j}", "A()=#:/\\.-", "") for j in cells})
+
+    def good(j: int) -> Column:
+        bare, rings = F.col(f"_bare{j}"), F.col(f"_rings{j}")
+        part = lambda x, i: F.split_part(x, F.lit("|"), F.lit(i))
+        plain = F.when(F.contains(rings, F.lit("|")), _even(part(rings, 1)) & _even(part(rings, 2)) & _even(part(rings, 3))).otherwise(_even(rings))
+        wide = F.forall(F.split(bare, r"\|"), _even_rings)
+        return (bare == "") | (~bare.rlike(_SHAPE) & _balanced(F.col(f"_pairs{j}")) & F.when(F.contains(rings, F.lit("%")), wide).otherwise(plain))
+
+    # The first judged field that is not well-formed, 0 if there is none; null for rows the pattern misses.
+    number = lambda j: by_feed(lambda s: F.lit((judged[s.feed] + [0] * most)[j] + 1), F.lit(0))
+    bad = reduce(lambda rest, j: F.when(~F.coalesce(good(j), F.lit(False)), number(j)).otherwise(rest), reversed(cells), F.lit(0))
+    staged = _bind(staged, _bad=F.when(whole, bad))
+
+    # Rows it misses: how many fields are right in number and quoting, and what stands after them.
+    def depth(s: RecordSchema) -> Column:
+        out = F.lit(len(s.fields))
+        for i in reversed(range(len(s.fields))):
+            out = F.when(~t.rlike(shape_pattern(i + 1)), F.lit(i)).otherwise(out)
+        return out
+
+    def rest(s: RecordSchema) -> Column:
+        out = F.regexp_replace(t, shape_pattern(len(s.fields)), "")
+        for i in reversed(range(len(s.fields))):
+            out = F.when(F.col("_depth") == i, F.regexp_replace(t, shape_pattern(i), "")).otherwise(out)
+        return out
+
+    missed = F.col("_bad").isNull() & F.col(raw).isNotNull()
+    staged = _bind(staged, _depth=F.when(missed, by_feed(depth, F.lit(None).cast("int"))))
+    staged = _bind(staged, _rest=F.when(F.col("_depth").isNotNull(), by_feed(rest, none)))
+    width = by_feed(lambda s: F.lit(len(s.fields)), F.lit(-1))
+    left = F.col("_rest")
     reason = (
-        F.when(F.col("_whole") & valid, F.lit(None).cast("string"))
-        .when(~known, F.lit("unknown_feed"))
-        .when(F.col(raw).isNull(), F.lit("column_count"))
-        .when(~good_quotes, F.lit("quoting"))
-        .when(~count, F.lit("column_count"))
-        .when(valid, F.lit(None).cast("string"))
-        .otherwise(F.lit("invalid_value"))
+        F.when(F.col("_bad") == 0, none)
+        .when(~name.isin(*[s.feed for s in schemas]), F.lit("unknown_feed"))
+        .when(F.col("_bad").isNotNull(), F.lit("invalid_value"))
+        .when(F.col(raw).isNull() | ((left == "") & (F.col("_depth") < width)), F.lit("column_count"))
+        .when(left == "", F.lit("invalid_value"))
+        .when((F.col("_depth") < width) | (F.regexp_replace(left, rf"\G{_ANY},", "") != ""), F.lit("quoting"))
+        .otherwise(F.lit("column_count"))
     )
     staged = _bind(staged, reason=reason)
 
     def prefix_depth(s: RecordSchema) -> Column:
-        depth = F.when(F.lit(False), F.lit(0))
-        for i, p in enumerate(prefix_patterns(s)):
-            depth = depth.when(~t.rlike(p), F.lit(i + 1))
-        return depth.otherwise(F.when(F.size("parsed") > len(s.fields), F.lit(len(s.fields) + 1)).otherwise(F.col("_bad")))
+        out = F.lit(len(s.fields) + 1)
+        for i, p in reversed(list(enumerate(prefix_patterns(s)))):
+            out = F.when(~t.rlike(p), F.lit(i + 1)).otherwise(out)
+        return out
 
-    broken = F.when(F.col("reason").isNull(), F.lit(None).cast("int")).otherwise(by_feed(prefix_depth, F.lit(0)))
-    return staged.withColumn("broken_field", broken).drop("_text", "_whole", "_bare", "_bad")
+    broken = F.when(F.col("reason").isNotNull(), F.coalesce("_bad", by_feed(prefix_depth, F.lit(0))))
+    return staged.select(*[F.col(f"`{c}`") for c in df.columns], "reason", broken.alias("broken_field"), _fields(t).alias("parsed"))
 
 
 def _bind(df: DataFrame, **values: Column) -> DataFrame:

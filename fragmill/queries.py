@@ -30,7 +30,23 @@ def query(sql: str | None = None):
 # Records that cannot be loaded
 
 
-@query()
+_FIELD = '("(?:[^"]|"")*"|[^",]*)'
+_BRACKETED = rf"\[[0-9]*(?:{malformed._SYMBOL}|\*)@{{0,2}}(?:H[0-9]*)?(?:[+-][0-9]+|\++|-+)?(?::[0-9]+)?\]"
+_ATOM = rf"(?:{_BRACKETED}|Cl|Br|[BCNOPSFIbcnops*])"
+_BLANK = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]+"
+_WELL_FORMED = rf"""(regexp_full_match(p, '[/\\]*{_ATOM}(?:{_ATOM}|[-=#:/\\.()]|[0-9]|%[0-9][0-9])*') and not regexp_matches(p, '[-=#:/\\.]$|\(\)')
+and len(replace(p, '(', '')) = len(replace(p, ')', '')) and list_bool_and(list_transform(range(1, len(p) + 1), lambda i: len(replace(p[:i], '(', '')) <= len(replace(p[:i], ')', ''))))
+and list_bool_and(list_transform(regexp_extract_all(regexp_replace(p, '{_BRACKETED}', 'C', 'g'), '%[0-9][0-9]|[0-9]'), lambda d: len(list_filter(regexp_extract_all(regexp_replace(p, '{_BRACKETED}', 'C', 'g'), '%[0-9][0-9]|[0-9]'), lambda x: ltrim(x, '%0') = ltrim(d, '%0'))) % 2 = 0)) is not false)"""
+
+
+@query(
+    f"""with f as (select line_id, feed, raw_line as s, regexp_full_match(raw_line, '(?s){_FIELD}(?:,{_FIELD})*') as quoted, case feed when 'curated' then regexp_full_match(raw_line, '(?s){_FIELD}(?:,{_FIELD}){{5}}') else regexp_full_match(raw_line, '(?s){_FIELD}(?:,{_FIELD}){{4}}') end as wide,
+regexp_extract(raw_line, '(?s)^{_FIELD},{_FIELD}', 2) as c from raw_lines),
+v as (select *, regexp_replace(case when c[1] = '"' then replace(c[2:-2], '""', '"') else c end, '^{_BLANK}|{_BLANK}$', '', 'g') as v from f),
+w as (select line_id, quoted, wide, case when feed = 'curated' then [v] when v = '' then [] when len(v) - len(replace(v, '.', '')) = 2 and len(v) - len(replace(v, '[*:1]', '')) = 10 and len(v) - len(replace(v, '[*:2]', '')) = 10 then string_split(v, '.') else [''] end as parts from v),
+r as (select line_id, case when not quoted then 'quoting' when not wide then 'column_count' when list_bool_and(list_transform(parts, lambda p: {_WELL_FORMED})) is false then 'invalid_value' end as reason from w)
+select line_id, reason from r where reason is not null"""
+)
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "raw_lines", ["line_id", "feed", "raw_line"])
     return malformed.rejected(lines).select("line_id", "reason")
@@ -117,7 +133,10 @@ def regex_anti_filter(spark, folder):
     return rows.filter(F.col("labels").isNotNull() & ~F.col("labels").rlike(r"\.\[Cl-\]\.|\.\[Na\+\]"))
 
 
-@query(f"select sample_id, {_role_sql(chr(115) + 'tring_split(labels, ' + chr(39) + '.' + chr(39) + ')', 'linker')} as linker, {_role_sql('string_split(labels, ' + chr(39) + '.' + chr(39) + ')', 'e3')} || '.' || {_role_sql('string_split(labels, ' + chr(39) + '.' + chr(39) + ')', 'poi')} as ligands from finetuning")
+_LABELS = "string_split(labels, '.')"
+
+
+@query(f"select sample_id, {_role_sql(_LABELS, 'linker')} as linker, {_role_sql(_LABELS, 'e3')} || '.' || {_role_sql(_LABELS, 'poi')} as ligands from finetuning")
 def label_projection(spark, folder):
     rows = table(spark, folder, "finetuning", ["sample_id", "labels"])
     return rows.select("sample_id", fr.label_projection(F.col("labels"), "linker").alias("linker"), fr.label_projection(F.col("labels"), "ligands").alias("ligands"))
@@ -231,6 +250,7 @@ def adaptive_escalation(spark, folder):
     return rows.select("protac_id", value.alias("prediction"), rank["n_flags"].alias("n_flags"))
 
 
+#: The thresholds and weightings tried, in their order.
 _GRID = [f"betweenness_threshold={t},use_capacity_weight={c}" for t, c in ((0.4, False), (0.3, False), (0.5, False), (0.4, True), (0.3, True), (0.5, True))]
 _PLACE = "case heuristic_params " + " ".join(f"when '{g}' then {i}" for i, g in enumerate(_GRID)) + " else 99 end"
 
@@ -588,8 +608,8 @@ def tokenise_all(spark, folder):
     """As tokenise, without its cut at 32 tokens: padded to the longest text of the table."""
     rows = table(spark, folder, "finetuning", ["sample_id", "text"]).dropna()
     rows = rows.select("sample_id", F.regexp_extract_all("text", F.lit(f"({_TOK})"), 1).alias("t")).select("sample_id", "t", F.size("t").alias("n"))
-    longest = rows.agg(F.max("n").alias("longest"))
-    return rows.crossJoin(F.broadcast(longest)).select("sample_id", "n", F.concat("t", F.array_repeat(F.lit("<pad>"), F.col("longest") - F.col("n"))).alias("tokens"))
+    longest = rows.agg(F.max("n")).first()[0] or 0
+    return rows.select("sample_id", "n", F.concat("t", F.array_repeat(F.lit("<pad>"), F.lit(longest) - F.col("n"))).alias("tokens"))
 
 
 @query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(avg(value) filter (not isnan(value)), 6) as mean from events group by 1, 2")
