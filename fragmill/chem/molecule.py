@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -15,6 +16,8 @@ _BRACKET = re.compile(r"\[(\d*)(\*|[A-Z][a-z]?|[a-z]{1,2})(@{0,2})(H\d*)?([+-]\d
 WEIGHTS = {"H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "P": 30.974, "S": 32.06, "Cl": 35.45, "Br": 79.904, "I": 126.904}
 #: Usual valences, for implied hydrogens.
 VALENCES = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "F": (1,), "P": (3, 5), "S": (2, 4, 6), "Cl": (1,), "Br": (1,), "I": (1,)}
+#: How hard bonds of an order are to cut; ring and aromatic bonds, and any other order.
+CAPACITIES, RINGED, OTHER = {1.0: 1.0, 2.0: 10.0, 3.0: 20.0}, 1000.0, 50.0
 ORDERS = {"-": 1.0, "=": 2.0, "#": 3.0, ":": 1.5, "/": 1.0, "\\": 1.0}
 
 
@@ -125,45 +128,117 @@ def bridges(mol: Molecule) -> list[int]:
     return sorted(out)
 
 
+@dataclass
+class Tree:
+    """A molecule hung up at one atom: for each bond in no ring, the atoms below it are those with places in
+    ``low[b]..high[b]``; ``place`` gives each atom's, -1 those of other parts. ``total`` atoms hang there."""
+
+    place: list[int]
+    low: dict[int, int]
+    high: dict[int, int]
+    total: int
+
+    def below(self, bond: int) -> int:
+        return self.high[bond] - self.low[bond]
+
+    def holds(self, bond: int, atom: int) -> bool:
+        return self.low[bond] <= self.place[atom] < self.high[bond]
+
+    def beyond(self, bond: int, atom: int) -> int:
+        """How many atoms are on this atom's side of a bond."""
+        return self.below(bond) if self.holds(bond, atom) else self.total - self.below(bond)
+
+
+def tree(mol: Molecule, root: int = 0) -> Tree:
+    """One depth-first walk of the part of an atom; bonds of other parts are left out."""
+    near, free = mol.neighbours(), set(bridges(mol))
+    place, low, high = [-1] * len(mol.atoms), {}, {}
+    stack, clock = [(root, -1, iter(near[root]))], 1
+    place[root] = 0
+    while stack:
+        u, via, rest = stack[-1]
+        for v, b in rest:
+            if place[v] < 0:
+                place[v] = clock
+                if b in free:
+                    low[b] = clock
+                clock += 1
+                stack.append((v, b, iter(near[v])))
+                break
+        else:
+            stack.pop()
+            if via in low:
+                high[via] = clock
+    return Tree(place, low, high, clock)
+
+
 def betweenness(mol: Molecule, capacity: list[float] | None = None) -> list[float]:
-    """Normalised betweenness of each atom, ends of paths included; with capacities these are the bonds' lengths."""
+    """Normalised betweenness of each atom, ends of paths included; with capacities these are the bonds' lengths.
+
+    Bridges part the molecule into ring systems and single atoms. Which way a path takes is open only within a ring
+    system, so the searches run there, with each atom standing for all that hang off it; pairs that an atom parts are
+    counted by their numbers. Scores are rounded to twelve places, so that atoms of equal standing tie.
+    """
     import heapq
 
-    near, n = mol.neighbours(), len(mol.atoms)
-    score = [0.0] * n
-    for s in range(n):
-        order, before, paths, far = [], [[] for _ in range(n)], [0.0] * n, {s: 0.0}
-        paths[s] = 1.0
-        done, heap = set(), [(0.0, s)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if u in done:
-                continue
-            done.add(u)
-            order.append(u)
-            for v, b in near[u]:
-                step = d + (capacity[b] if capacity else 1.0)
-                if v not in far or step < far[v]:
-                    far[v], paths[v], before[v] = step, paths[u], [u]
-                    heapq.heappush(heap, (step, v))
-                elif step == far[v] and v not in done:
-                    paths[v] += paths[u]
-                    before[v].append(u)
-        share = [0.0] * n
-        score[s] += len(order) - 1
-        for w in reversed(order):
-            for u in before[w]:
-                share[u] += paths[u] / paths[w] * (1 + share[w])
-            if w != s:
-                score[w] += share[w] + 1
+    n, near, free = len(mol.atoms), mol.neighbours(), set(bridges(mol))
+    score, weight = [0.0] * n, [1] * n
+    for part in pieces(mol, set()):
+        walk = tree(mol, part[0])
+        for u in part:
+            hung = [walk.beyond(b, v) for v, b in near[u] if b in free]
+            w = weight[u] = 1 + sum(hung)  # the atom and all that reach the rest of its ring system through it
+            score[u] += 2 * w * (walk.total - w) + (w - 1) ** 2 - sum(x * x for x in hung) + 2 * (w - 1)
+    for part in pieces(mol, free):
+        if len(part) < 3:
+            continue
+        for s in part:
+            far, paths, before, order, done = {s: 0.0}, {s: 1.0}, {s: []}, [], set()
+            heap = [(0.0, s)]
+            while heap:
+                d, u = heapq.heappop(heap)
+                if u in done:
+                    continue
+                done.add(u)
+                order.append(u)
+                for v, b in near[u]:
+                    if b in free:
+                        continue
+                    step = d + (capacity[b] if capacity else 1.0)
+                    if v not in far or step < far[v]:
+                        far[v], paths[v], before[v] = step, paths[u], [u]
+                        heapq.heappush(heap, (step, v))
+                    elif step == far[v] and v not in done:
+                        paths[v] += paths[u]
+                        before[v].append(u)
+            share = dict.fromkeys(part, 0.0)
+            for x in reversed(order[1:]):
+                for u in before[x]:
+                    share[u] += paths[u] / paths[x] * (weight[x] + share[x])
+                score[x] += weight[s] * share[x]
     scale = 1 / (n * (n - 1)) if n > 1 else 1.0
-    return [x * scale for x in score]
+    return [round(x * scale, 12) for x in score]
+
+
+def distances(mol: Molecule) -> list[list[int]]:
+    """How many bonds apart all atoms are; -1 between parts."""
+    near, out = mol.neighbours(), []
+    for s in range(len(near)):
+        far, order = [-1] * len(near), [s]
+        far[s] = 0
+        for u in order:
+            for v, _ in near[u]:
+                if far[v] < 0:
+                    far[v] = far[u] + 1
+                    order.append(v)
+        out.append(far)
+    return out
 
 
 def capacities(mol: Molecule) -> list[float]:
     """How hard a bond is to cut: ring or aromatic 1000, single 1, double 10, triple 20."""
     free = set(bridges(mol))
-    return [1000.0 if i not in free or o == 1.5 else {1.0: 1.0, 2.0: 10.0, 3.0: 20.0}.get(o, 50.0) for i, (_, _, o) in enumerate(mol.bonds)]
+    return [RINGED if i not in free or o == 1.5 else CAPACITIES.get(o, OTHER) for i, (_, _, o) in enumerate(mol.bonds)]
 
 
 def pieces(mol: Molecule, cut: set[int]) -> list[list[int]]:
@@ -237,6 +312,50 @@ def write(mol: Molecule, atoms: list[int], extra: dict[int, list[str]] | None =
     return "".join(out)
 
 
+def reordered(mol: Molecule, order: list[int]) -> Molecule:
+    """The same molecule with its atoms, and the bonds of each, in another order."""
+    place = {a: i for i, a in enumerate(order)}
+    return Molecule([mol.atoms[a] for a in order], sorted(tuple(sorted((place[u], place[v]))) + (o,) for u, v, o in mol.bonds))
+
+
+def spelled(mol: Molecule, order: list[int]) -> str:
+    """All parts of a molecule written with the atoms of lower place first."""
+    new = reordered(mol, order)
+    return ".".join(sorted((write(new, p) for p in pieces(new, set())), key=lambda t: (-len(t), t)))
+
+
+def canonical(mol: Molecule) -> str:
+    """One string for all ways in which a molecule is written: atoms by refined colours, ties broken one at a time.
+
+    Stereo marks stay with their atoms. Another toolkit's canonical strings differ from these.
+    """
+    near = [[(round(2 * mol.bonds[b][2]), v) for v, b in x] for x in mol.neighbours()]
+    keys: list = [(a[1], a[2], a[0], len(x)) for a, x in zip(mol.atoms, near, strict=True)]
+
+    def ranked(values: list) -> list[int]:
+        place = {k: i for i, k in enumerate(sorted(set(values)))}
+        return [place[v] for v in values]
+
+    rank = ranked(keys)
+    while True:
+        new = ranked([(rank[u], *sorted((o, rank[v]) for o, v in near[u])) for u in range(len(rank))])
+        if len(set(new)) > len(set(rank)):
+            rank = new
+            continue
+        tied = sorted((r for r in set(rank) if rank.count(r) > 1))
+        if not tied:
+            return spelled(mol, sorted(range(len(rank)), key=lambda u: rank[u]))
+        first = rank.index(tied[0])
+        rank = ranked([(r, u != first) if r == tied[0] else (r, False) for u, r in enumerate(rank)])
+
+
+def randomised(mol: Molecule, seed: int) -> str:
+    """Another way to write a molecule, the same for the same seed."""
+    order = list(range(len(mol.atoms)))
+    random.Random(seed).shuffle(order)
+    return spelled(mol, order)
+
+
 @cache
 def _atom_colour(element: str, label: int) -> int:
     return int.from_bytes(blake2b(f"{element}|{label}".encode(), digest_size=7).digest(), "little")
@@ -288,22 +407,33 @@ def tanimoto(a: set[int], b: set[int]) -> float:
     return n / (len(a) + len(b) - n) if a or b else 0.0
 
 
-def weight(mol: Molecule) -> float:
-    """Molecular weight with implied hydrogens; attachment points weigh nothing."""
-    near, total = mol.neighbours(), 0.0
+def hydrogens(mol: Molecule) -> list[int]:
+    """Hydrogens of each atom that are no atoms of their own: given in brackets, else what usual valences leave."""
+    near, out = mol.neighbours(), []
     for u, (token, element, _) in enumerate(mol.atoms):
-        e = element.capitalize()
-        if element == "*":
-            continue
-        total += WEIGHTS.get(e, 0.0)
         if token.startswith("["):
             h = _BRACKET.fullmatch(token)[4]
-            total += WEIGHTS["H"] * (int(h[1:] or 1) if h else 0)
+            out.append(int(h[1:] or 1) if h else 0)
+        elif element == "*":
+            out.append(0)
         else:
             used = sum(mol.bonds[b][2] for _, b in near[u])
-            free = next((v for v in VALENCES.get(e, (0,)) if v >= int(used)), 0) - used
-            total += WEIGHTS["H"] * max(0, int(free))
-    return total
+            out.append(max(0, int(next((v for v in VALENCES.get(element.capitalize(), (0,)) if v >= int(used)), 0) - used)))
+    return out
+
+
+def charges(mol: Molecule) -> list[int]:
+    """The formal charge of each atom."""
+    out = []
+    for token, _, _ in mol.atoms:
+        c = (_BRACKET.fullmatch(token)[5] or "") if token.startswith("[") else ""
+        out.append(int(c) if c[1:].isdigit() else c.count("+") - c.count("-"))
+    return out
+
+
+def weight(mol: Molecule) -> float:
+    """Molecular weight with implied hydrogens; attachment points weigh nothing."""
+    return sum(WEIGHTS.get(e.capitalize(), 0.0) + WEIGHTS["H"] * h for (_, e, _), h in zip(mol.atoms, hydrogens(mol), strict=True) if e != "*")
 
 
 def chain_length(mol: Molecule) -> int:

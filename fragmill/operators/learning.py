@@ -40,16 +40,39 @@ def fit_edges(edges: DataFrame, trees: int = 30, depth: int = 6, seed: int = 42)
     total = sum(share.values())
     weight = F.when(F.col("cut") == 1, total / (2 * share.get(1.0, 1))).otherwise(total / (2 * share.get(0.0, 1)))
     index = StringIndexer(inputCols=["atom_u", "atom_v"], outputCols=["iu", "iv"], handleInvalid="keep")
-    assemble = VectorAssembler(inputCols=[*NUMBERS, "iu", "iv"], outputCol="features")
+    assemble = VectorAssembler(inputCols=[*NUMBERS, "iu", "iv", "fpv"], outputCol="features")
     forest = RandomForestClassifier(labelCol="cut", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed)
-    return Pipeline(stages=[index, assemble, forest]).fit(rows.withColumn("w", weight))
+    return Pipeline(stages=[index, assemble, forest]).fit(_vectors(rows).withColumn("w", weight))
+
+
+def _vectors(edges: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+
+    return edges.withColumn("fpv", array_to_vector("fp"))
+
+
+def save_model(model, path: str) -> None:
+    """Writes a fitted model to a folder all executors share."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    """A model written by ``save_model``; one object a session and path."""
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def sample_molecules(df: DataFrame, key: str, most: int = 1000, seed: int = 42) -> DataFrame:
+    """At most ``most`` rows, the first in the order of a hash of their key: what a model is fitted on."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)
 
 
 def top_bonds(model, edges: DataFrame, key: str, n: int = 2) -> DataFrame:
     """(key, bond, proba, rank): the n bonds of each molecule that are most likely to be cut."""
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(edges).withColumn("proba", F.get(vector_to_array("probability"), F.lit(1)))
+    scored = model.transform(_vectors(edges)).withColumn("proba", F.get(vector_to_array("probability"), F.lit(1)))
     w = Window.partitionBy(key).orderBy(F.desc("proba"), "bond")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select(key, "bond", "proba", "rank")
 

@@ -6,13 +6,14 @@ Each is one pass over only the columns it needs, spread over all tasks. Strings
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fragmill.chem import describe, splitting
 from fragmill.chem import molecule as m
-from fragmill.chem import splitting
 
 
 def _map(df: DataFrame, key: str, inputs: list[str], fields: str, make) -> DataFrame:
@@ -30,7 +31,7 @@ def _map(df: DataFrame, key: str, inputs: list[str], fields: str, make) -> DataF
         for batch in batches:
             columns = [batch.column(i + 1).to_pylist() for i in range(len(inputs))]
             out = []
-            for args in zip(*columns, strict=True):
+            for args in zip(*([tuple(x) if isinstance(x, list) else x for x in c] for c in columns), strict=True):
                 if args not in memory:
                     if len(memory) > 20_000:
                         memory.clear()
@@ -38,9 +39,17 @@ def _map(df: DataFrame, key: str, inputs: list[str], fields: str, make) -> DataF
                 out.append(memory[args])
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r.get(n) for r in out], arrow.field(i + 1).type) for i, n in enumerate(names)]], schema=arrow)
 
-    # A molecule costs milliseconds and a row of strings microseconds to move, so a few large files are spread first.
-    many = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.select(key, *inputs).repartition(many).mapInArrow(run, schema)
+    return spread(df.select(key, *inputs)).mapInArrow(run, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many tasks as there are cores: a molecule costs milliseconds to treat and microseconds to move.
+    What is large enough to be read in that many tasks stays where it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    task = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df if size >= cores * task else df.repartition(cores)
 
 
 def heuristic_split(df: DataFrame, key: str, text: str, e3_refs: list[str], threshold: float = 0.4, use_capacity: bool = False) -> DataFrame:
@@ -68,7 +77,7 @@ def descriptors(df: DataFrame, key: str, text: str) -> DataFrame:
     return _map(df, key, [text], "mw double, atoms int, rings int, bridges int, chain int", make)
 
 
-EDGE = "bond int, atom_u string, atom_v string, order double, degree_u int, degree_v int, degree2_u int, degree2_v int, degree3_u int, degree3_v int, betweenness_u double, betweenness_v double, smaller_side int, num_nodes int, num_edges int, ring_bonds int"
+EDGE = "bond int, atom_u string, atom_v string, order double, degree_u int, degree_v int, degree2_u int, degree2_v int, degree3_u int, degree3_v int, betweenness_u double, betweenness_v double, smaller_side int, num_nodes int, num_edges int, ring_bonds int, fp array<double>"
 
 
 def edge_features(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -77,6 +86,46 @@ def edge_features(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.inline("edges"))
 
 
+def metrics(df: DataFrame, key: str, whole: str, prediction: str) -> DataFrame:
+    """(key, whole_*, e3_*, linker_*, poi_*): descriptors of the whole molecule and of each part of a split, and of the
+    linker's backbone. Null where a part is missing or cannot be read."""
+    of = {"whole": False, "e3": True, "linker": True, "poi": True}
+    fields = ", ".join([f"{scope}_{f}" for scope in of for f in describe.FIELDS.split(", ")] + [f"linker_{f}" for f in describe.BACKBONE.split(", ")])
+
+    def make(w: str | None, p: str | None) -> dict:
+        text = {"whole": w, **m.roles(p)}
+        out = {f"{scope}_{k}": v for scope, part in of.items() for k, v in describe.describe(text[scope], part).items()}
+        return out | {f"linker_{k}": v for k, v in describe.backbone(text["linker"]).items()}
+
+    return _map(df, key, [whole, prediction], fields, make)
+
+
+def scans(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, alert_hits, leaving_group_hits, unstable, leaving_group) of each molecule."""
+    return _map(df, key, [text], "alert_hits array<string>, leaving_group_hits array<string>, unstable boolean, leaving_group boolean", describe.scan)
+
+
+def canonical(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, canonical): one string for all ways to write a molecule; null where it cannot be read."""
+    return _map(df, key, [text], "canonical string", lambda t: {"canonical": m.canonical(g) if (g := m.parse(t)) else None})
+
+
+def rewritten(df: DataFrame, key: str, texts: list[str], repeat: int, percent: int, seed: int = 42) -> DataFrame:
+    """(key, copy, texts): for about ``percent`` of the rows ``repeat`` random rewritings of each text, else the row once as
+    it is. What cannot be read comes out as null. Parts between dots keep their places."""
+
+    def make(*values):
+        h = int.from_bytes(blake2b("|".join(map(str, values)).encode(), digest_size=8).digest(), "little")
+        many = h % 100 < percent
+        def one(t: str | None, k: int) -> str | None:
+            parts = [m.parse(x) for x in t.split(".")] if t else [None]
+            return ".".join(m.randomised(g, h + seed + k) for g in parts) if all(parts) else None
+        return {"copies": [{c: one(t, k) if many else t for c, t in zip(texts, values, strict=True)} for k in range(repeat if many else 1)]}
+
+    rows = _map(df, key, texts, "copies array<struct<" + ",".join(f"{c}:string" for c in texts) + ">>", make)
+    return rows.select(key, F.posexplode("copies").alias("copy", "c")).select(key, "copy", "c.*")
+
+
 def edit_distance(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, distance, norm): greedy graph edit distance and its share of both sizes; null if either cannot be read."""
 

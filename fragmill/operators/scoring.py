@@ -15,6 +15,8 @@ from fragmill.operators.quality import count_flags
 WEIGHT = {"e3": (150, 700), "poi": (120, 900)}
 ATOMS = {"e3": (10, 55), "poi": (8, 70)}
 CHAIN, TOO_SHORT, TOO_BRANCHED, UNKNOWN = 6, 1, 2, 0.2
+#: Fixed value: the edit distance of what cannot be compared.
+NO_DISTANCE = 1e64
 
 _FACTS = (
     "pred_valid boolean, has_three_substructures boolean, has_all_attachment_points boolean, reassembly_ok boolean, e3_mw double, e3_heavy_atoms int, e3_disconnected boolean, e3_attachment_chain_length int, "
@@ -23,7 +25,7 @@ _FACTS = (
 )
 
 
-def _facts(prediction: str | None, whole: str | None, e3s: list[set[int]], warheads: list[set[int]]) -> dict:
+def facts(prediction: str | None, whole: str | None, e3s: list[set[int]], warheads: list[set[int]]) -> dict:
     p = prediction or ""
     parts = m.roles(prediction)
     graphs = {k: m.parse(v) for k, v in parts.items()}
@@ -57,12 +59,30 @@ def split_flags() -> dict[str, Column]:
     return flags
 
 
+def flags_of(f: dict) -> list[str]:
+    """The names of the flags that ``split_flags`` raises, for the facts of one split."""
+    outside = lambda x, lo_hi: x is not None and not lo_hi[0] <= x <= lo_hi[1]
+    least = lambda x, n: x is not None and x >= n
+    below = lambda x: x is not None and x < UNKNOWN
+    crossed = lambda a, b: a is not None and b is not None and a > b and a >= UNKNOWN
+    out = {}
+    for r in ("e3", "poi"):
+        out[f"{r}_out_of_range"] = outside(f.get(f"{r}_mw"), WEIGHT[r]) or outside(f.get(f"{r}_heavy_atoms"), ATOMS[r])
+        out[f"{r}_linker_leak"] = bool(f.get(f"{r}_disconnected")) or least(f.get(f"{r}_attachment_chain_length"), CHAIN)
+    out["linker_too_short"] = f.get("linker_heavy_atoms_between") is not None and f["linker_heavy_atoms_between"] <= TOO_SHORT
+    out["linker_branchy"] = least(f.get("linker_branch_points"), TOO_BRANCHED)
+    out["e3_low_similarity"], out["poi_low_similarity"] = below(f.get("e3_sim_to_known_e3")), below(f.get("poi_sim_to_known_wh"))
+    out["role_swap_suspected"] = crossed(f.get("e3_sim_to_known_wh"), f.get("e3_sim_to_known_e3")) and crossed(f.get("poi_sim_to_known_e3"), f.get("poi_sim_to_known_wh"))
+    out["structural"] = not all(f.get(x) for x in ("pred_valid", "has_three_substructures", "has_all_attachment_points", "reassembly_ok"))
+    return [name for name, raised in out.items() if raised]
+
+
 def score_splits(df: DataFrame, key: str, prediction: str, whole: str, e3_refs: list[str], warhead_refs: list[str]) -> DataFrame:
     """(key, facts, flag_*, n_flags, review_reasons) of each candidate, without a reference split. What a missing part
     leaves unknown is null and raises no flag; the references are short fixed lists."""
     held = df.sparkSession.sparkContext.broadcast(tuple([m.bits(g) for g in map(m.parse, refs) if g] for refs in (e3_refs, warhead_refs)))
-    facts = _map(df, key, [prediction, whole], _FACTS, lambda p, w: _facts(p, w, *held.value))
-    return count_flags(facts, split_flags())
+    rows = _map(df, key, [prediction, whole], _FACTS, lambda p, w: facts(p, w, *held.value))
+    return count_flags(rows, split_flags())
 
 
 _SCORES = "has_three_substructures boolean, has_all_attachment_points boolean, num_fragments int, tanimoto_similarity double, valid boolean, reassembly boolean, reassembly_nostereo boolean, heavy_atoms_difference int, heavy_atoms_difference_norm double, all_ligands_equal boolean, " + ", ".join(
@@ -91,7 +111,7 @@ def _scores(whole: str | None, label: str | None, prediction: str | None) -> dic
     for r in ("e3", "poi", "linker"):
         g, t = graphs[r], truths[r]
         n = m.real_atoms(t) if t else 0
-        own: dict = {"valid": g is not None, "equal": False, "has_attachment_points": given[r] is not None, "tanimoto_similarity": 0.0, "graph_edit_distance": 1e64, "graph_edit_distance_norm": 1.0, "heavy_atoms_difference": n, "heavy_atoms_difference_norm": 1.0}
+        own: dict = {"valid": g is not None, "equal": False, "has_attachment_points": given[r] is not None, "tanimoto_similarity": 0.0, "graph_edit_distance": NO_DISTANCE, "graph_edit_distance_norm": 1.0, "heavy_atoms_difference": n, "heavy_atoms_difference_norm": 1.0}
         if g and t:
             d = float(m.edit_distance(g, t))
             own |= {"equal": m.same(g, t), "tanimoto_similarity": m.tanimoto(m.bits(g), m.bits(t)), "graph_edit_distance": d, "graph_edit_distance_norm": d / (len(g.atoms) + len(t.atoms)), "heavy_atoms_difference": n - m.real_atoms(g), "heavy_atoms_difference_norm": (n - m.real_atoms(g)) / n if n else 1.0}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmill.functions import fragments as fr
-from fragmill.operators import choose, dictionary, generate, graph, learning, malformed, molecules, quality, sampling, scoring, summaries
+from fragmill.operators import choose, dictionary, generate, graph, learning, malformed, molecules, quality, sampling, scoring, splitting, summaries
 from fragmill.plans.lineage import Scratch
 from fragmill.sources.tables import table
 from fragmill.streaming import metrics
@@ -517,7 +517,15 @@ def line_graph(spark, folder):
 
 def _e3_refs(spark, folder):
     rows = table(spark, folder, "representatives", ["rep_id", "smiles", "is_warhead"]).filter("not is_warhead")
-    return [r.smiles for r in rows.orderBy("rep_id").limit(10_000).collect()]
+    return [r.smiles for r in _few(rows.orderBy("rep_id"))]
+
+
+def _few(rows: DataFrame, most: int = 10_000) -> list:
+    """All rows of a fixed small table; more are refused."""
+    held = rows.limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} references")
+    return held
 
 
 _LABELLED = ["e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"]
@@ -538,12 +546,6 @@ def _once(rows: DataFrame, keys: list[str], inputs: list[str], make) -> DataFram
 
 @query()
 def heuristic_split(spark, folder):
-    """Of the control molecules only; heuristic_split_all takes all."""
-    return molecules.heuristic_split(table(spark, folder, "controls", ["protac_id", "protac_smiles"]), "protac_id", "protac_smiles", _e3_refs(spark, folder))
-
-
-@query()
-def heuristic_split_all(spark, folder):
     return molecules.heuristic_split(_whole_molecules(spark, folder), "protac_id", "protac_smiles", _e3_refs(spark, folder))
 
 
@@ -596,16 +598,9 @@ def ratio_limit(spark, folder):
 _TOK = r"\[[^\]]*\]|Cl|Br|%[0-9]{2}|[A-Za-z0-9*=#:/\\().+@-]"
 
 
-@query(f"select sample_id, len(t)::int as n, list_resize(t[:32], 32, '<pad>') as tokens from (select sample_id, regexp_extract_all(text, '{_TOK}') as t from finetuning where text is not null)")
-def tokenise(spark, folder):
-    rows = table(spark, folder, "finetuning", ["sample_id", "text"]).dropna()
-    t = F.regexp_extract_all("text", F.lit(f"({_TOK})"), 1)
-    return rows.select("sample_id", t.alias("t")).select("sample_id", F.size("t").alias("n"), F.slice(F.concat("t", F.array_repeat(F.lit("<pad>"), 32)), 1, 32).alias("tokens"))
-
-
 @query(f"select sample_id, len(t)::int as n, list_resize(t, (select max(len(regexp_extract_all(text, '{_TOK}'))) from finetuning), '<pad>') as tokens from (select sample_id, regexp_extract_all(text, '{_TOK}') as t from finetuning where text is not null)")
-def tokenise_all(spark, folder):
-    """As tokenise, without its cut at 32 tokens: padded to the longest text of the table."""
+def tokenise(spark, folder):
+    """All tokens of each text, padded to the longest of the table."""
     rows = table(spark, folder, "finetuning", ["sample_id", "text"]).dropna()
     rows = rows.select("sample_id", F.regexp_extract_all("text", F.lit(f"({_TOK})"), 1).alias("t")).select("sample_id", "t", F.size("t").alias("n"))
     longest = rows.agg(F.max("n")).first()[0] or 0
@@ -632,7 +627,7 @@ def score_splits(spark, folder):
     cols = ["protac_id", "protac_smiles", *_LABELLED]
     rows = table(spark, folder, "curated", ["row_id", *cols]).unionByName(table(spark, folder, "controls", cols), allowMissingColumns=True)
     rows = rows.withColumn("label", fr.join_roles(*[F.col(c) for c in _LABELLED]))
-    refs = table(spark, folder, "representatives", ["rep_id", "smiles", "is_warhead"]).orderBy("rep_id").limit(10_000).collect()
+    refs = _few(table(spark, folder, "representatives", ["rep_id", "smiles", "is_warhead"]).orderBy("rep_id"))
     make = lambda rows, key: scoring.score_splits(rows, key, "label", "protac_smiles", [r.smiles for r in refs if not r.is_warhead], [r.smiles for r in refs if r.is_warhead])
     return _once(rows, ["protac_id", "row_id"], ["label", "protac_smiles"], make)
 
@@ -677,23 +672,82 @@ def generated_molecules(spark, folder):
     return generate.generate(rows, "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction", 200)
 
 
-def _edge_classifier(rows):
-    edges = Scratch(rows.sparkSession).keep(learning.labelled_edges(rows, "protac_id", "protac_smiles", "label"))
-    top = learning.top_bonds(learning.fit_edges(edges), edges, "protac_id")
-    return top.join(edges.select("protac_id", "bond", "side"), ["protac_id", "bond"]).select("protac_id", "bond", "rank", "side")
+def _half(rows, key, which):
+    return rows.filter(F.pmod(F.xxhash64(F.lit(5), key), F.lit(2)) == which)
+
+
+def _model(spark, folder):
+    """A classifier fitted on at most 1000 of the labelled molecules of one half, by hash."""
+    known = learning.sample_molecules(_half(_known_splits(spark, folder).dropna(), "protac_smiles", 0), "protac_id")
+    return learning.fit_edges(Scratch(spark).keep(learning.labelled_edges(known, "protac_id", "protac_smiles", "label")))
 
 
 @query()
 def edge_classifier(spark, folder):
-    """Of the control molecules only; edge_classifier_all takes all."""
-    rows = table(spark, folder, "controls", ["protac_id", "protac_smiles", "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"])
-    rows = rows.withColumn("label", fr.join_roles(F.col("e3_binder_smiles_with_direction"), F.col("linker_smiles_with_direction"), F.col("poi_ligand_smiles_with_direction")))
-    return _edge_classifier(rows)
+    """The two likeliest bonds of every labelled molecule; ``held_out`` are those of the half it was not fitted on."""
+    known = _known_splits(spark, folder).dropna()
+    edges = Scratch(spark).keep(learning.labelled_edges(known, "protac_id", "protac_smiles", "label"))
+    top = learning.top_bonds(_model(spark, folder), edges, "protac_id")
+    held_out = _half(known, "protac_smiles", 1).select("protac_id", F.lit(True).alias("held_out"))
+    out = top.join(edges.select("protac_id", "bond", "side"), ["protac_id", "bond"]).join(held_out, "protac_id", "left")
+    return out.select("protac_id", "bond", "rank", "side", F.coalesce("held_out", F.lit(False)).alias("held_out"))
+
+
+def _split(spark, folder, strategy, **kw):
+    refs = splitting.References.of_table(table(spark, folder, "representatives", ["smiles", "is_warhead"]))
+    return splitting.split(_whole_molecules(spark, folder), "protac_smiles", strategy, refs, **kw).drop("protac_smiles")
+
+
+def _beams(spark, folder):
+    """What a sequence model said about each molecule: its stored predictions, in the order of their ids."""
+    rows = table(spark, folder, "predictions", ["pred_id", "smiles", "default_pred_n0", "model_name"]).filter("model_name = 'Transformer'").dropna()
+    return rows.groupBy(F.col("smiles").alias("protac_smiles"), "default_pred_n0").agg(F.min("pred_id").alias("i")).groupBy("protac_smiles").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "default_pred_n0"))), lambda x: x["default_pred_n0"]).alias("beams"))
+
+
+@query()
+def split_grid(spark, folder):
+    return _split(spark, folder, "grid")
+
+
+@query()
+def split_classifier(spark, folder):
+    return _split(spark, folder, "classifier->heuristic", model=_model(spark, folder))
+
+
+@query()
+def split_longest(spark, folder):
+    return _split(spark, folder, "classifier+heuristic", model=_model(spark, folder))
+
+
+@query()
+def split_transformer(spark, folder):
+    return _split(spark, folder, "transformer->classifier", model=_model(spark, folder), beams=_beams(spark, folder))
+
+
+@query()
+def split_adaptive(spark, folder):
+    return _split(spark, folder, "adaptive", model=_model(spark, folder), beams=_beams(spark, folder))
+
+
+@query()
+def split_metrics(spark, folder):
+    rows = _known_splits(spark, folder)
+    return molecules.metrics(rows, "protac_id", "protac_smiles", "label")
+
+
+@query()
+def structure_scans(spark, folder):
+    return molecules.scans(_whole_molecules(spark, folder), "protac_id", "protac_smiles")
+
+
+@query()
+def canonical_strings(spark, folder):
+    return molecules.canonical(_whole_molecules(spark, folder), "protac_id", "protac_smiles")
 
 
 @query()
-def edge_classifier_all(spark, folder):
-    return _edge_classifier(_known_splits(spark, folder).dropna())
+def rewritten_pairs(spark, folder):
+    return molecules.rewritten(table(spark, folder, "finetuning", ["sample_id", "text", "labels"]), "sample_id", ["text", "labels"], 4, 30)
 
 
 @query()

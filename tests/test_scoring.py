@@ -77,7 +77,9 @@ def test_generated_molecules_are_new_and_reassemble(spark):
 
 def test_classifier_finds_cuts(spark):
     rows = QUERIES["edge_classifier"](spark, SF).collect()
-    assert len(rows) == 48 and sum(r.side > 0 for r in rows) > 20  # of about 60 bonds each; chance would give two
+    other = [r.side > 0 for r in rows if r.held_out]
+    found = sum(other) / len(other)
+    assert len(other) > 1000 and found > 0.4, found  # held-out molecules of about 60 bonds each; chance would give 0.03
     sweep = QUERIES["cluster_sweep"](spark, SF).collect()
     assert [r.k for r in sweep] == [5, 10, 20]
     tiny = spark.createDataFrame([([1.0, 2.0],), ([2.0, 1.0],)], "v array<double>")
@@ -100,14 +102,14 @@ def test_every_row_is_scored(spark):
         assert sorted(r.pred_id for r in QUERIES[name](spark, small).select("pred_id").collect()) == want, name
     molecules = {r.protac_id for n in ("curated", "controls") for r in read(n).collect() if r.protac_smiles and r.protac_id}
     assert len(molecules) > 24
-    assert sorted(r.protac_id for r in QUERIES["heuristic_split_all"](spark, small).collect()) == sorted(molecules)
+    assert sorted(r.protac_id for r in QUERIES["heuristic_split"](spark, small).collect()) == sorted(molecules)
     assert len({r.protac_id for r in QUERIES["edge_features"](spark, small).collect()}) > 0.9 * len(molecules)
     assert QUERIES["score_splits"](spark, small).count() == read("curated").count() + read("controls").count()
-    assert {r.protac_id for r in QUERIES["edge_classifier_all"](spark, small).select("protac_id").collect()} > {r.protac_id for r in read("controls").collect()}
+    assert {r.protac_id for r in QUERIES["edge_classifier"](spark, small).select("protac_id").collect()} > {r.protac_id for r in read("controls").collect()}
 
 
 def test_no_token_is_lost(spark):
-    rows = QUERIES["tokenise_all"](spark, SF).collect()
+    rows = QUERIES["tokenise"](spark, SF).collect()
     assert max(r.n for r in rows) > 32 and len({len(r.tokens) for r in rows}) == 1
     assert all(sum(t != "<pad>" for t in r.tokens) == r.n for r in rows)
 
