@@ -82,35 +82,29 @@ def _trigrams(s: str) -> set[str]:
 
 
 def _nearest(batches: Iterator[pa.RecordBatch], refs: list[tuple[str, str, str]]) -> Iterator[pa.RecordBatch]:
-    """The best of each class for each text: similarities to all references from one product of incidence matrices."""
+    """The best of each class for each text: what it shares with all references from lists of who holds a substring."""
     import numpy as np
 
     classes = sorted({c for _, c, _ in refs})
-    vocabulary: dict[str, int] = {}
-    for _, _, s in refs:
-        for g in _trigrams(s):
-            vocabulary.setdefault(g, len(vocabulary))
-    m = np.zeros((len(refs), max(1, len(vocabulary))), np.float32)
+    holders: dict[str, list[int]] = {}
     for i, (_, _, s) in enumerate(refs):
-        m[i, [vocabulary[g] for g in _trigrams(s)]] = 1
-    sizes = m.sum(1)
+        for g in _trigrams(s):
+            holders.setdefault(g, []).append(i)
+    held = {g: np.array(x, np.int32) for g, x in holders.items()}
+    sizes = np.array([len(_trigrams(s)) for _, _, s in refs], np.int64)
     of = {c: np.array([i for i, r in enumerate(refs) if r[1] == c]) for c in classes}
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 2000):
-            batch = whole.slice(lo, 2000)
-            texts = batch.column(1).to_pylist()
-            x, n = np.zeros((len(texts), m.shape[1]), np.float32), np.zeros(len(texts), np.float32)
-            for i, t in enumerate(texts):
-                g = _trigrams(t or "")
-                n[i] = len(g)
-                x[i, [vocabulary[k] for k in g if k in vocabulary]] = 1
-            both = x @ m.T
-            both = both.astype(np.float64)  # whole numbers up to here
-            s = both / np.maximum(n[:, None] + sizes[None, :] - both, 1)
+    for batch in batches:
+        best: dict[str, list[tuple[int, float]]] = {c: [] for c in classes}
+        for t in batch.column(1).to_pylist():
+            own = _trigrams(t or "")
+            found = [held[g] for g in own if g in held]
+            both = np.bincount(np.concatenate(found), minlength=len(refs)) if found else np.zeros(len(refs), np.int64)
+            s = both / np.maximum(len(own) + sizes - both, 1)
             for c in classes:
-                mine = s[:, of[c]]
-                best = mine.argmax(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c] * len(texts)), pa.array([refs[of[c][b]][0] for b in best]), pa.array(mine[np.arange(len(texts)), best])], names=["key", "cls", "ref", "similarity"])
+                at = of[c][s[of[c]].argmax()]
+                best[c].append((at, float(s[at])))
+        for c in classes:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c] * batch.num_rows), pa.array([refs[i][0] for i, _ in best[c]], pa.string()), pa.array([x for _, x in best[c]], pa.float64())], names=["key", "cls", "ref", "similarity"])
 
 
 def nearest_reference(df: DataFrame, key: str, text: str, refs: DataFrame, ref_id: str, ref_class: str, ref_text: str, most: int = 100_000) -> DataFrame:
@@ -136,17 +130,33 @@ def grow(pairs: DataFrame, seeds: DataFrame, most_steps: int = 50) -> DataFrame:
     scratch = Scratch(pairs.sparkSession)
     both = pairs.select("a", "b").dropna().distinct()
     both = scratch.keep(both.union(both.select("b", "a")).distinct().toDF("a", "b"))
-    known = scratch.keep(seeds.toDF("item").join(both.select(F.col("a").alias("item")).distinct(), "item", "left_semi").distinct().withColumn("step", F.lit(0)))
+    last = scratch.keep(seeds.toDF("item").join(both.select(F.col("a").alias("item")).distinct(), "item", "left_semi").distinct().withColumn("step", F.lit(0)))
+    known = last
     for step in range(1, most_steps + 2):
-        last = known.filter(F.col("step") == step - 1).select(F.col("item").alias("a"))
-        new = both.join(last, "a", "left_semi").select(F.col("b").alias("item")).distinct().join(known, "item", "left_anti")
-        new = scratch.keep(new.withColumn("step", F.lit(step)))
-        if new.isEmpty():
+        met = both.join(last.select(F.col("item").alias("a")), "a", "left_semi").select(F.col("b").alias("item")).distinct()
+        last = scratch.keep(met.join(known, "item", "left_anti").withColumn("step", F.lit(step)))
+        if last.isEmpty():
             return known
-        if step > most_steps:
-            break
-        grown = scratch.keep(known.union(new))
-        scratch.drop(known)
-        scratch.drop(new)
-        known = grown
+        known = known.union(last)  # each step's items are written once and read together
     raise RuntimeError(f"items were still found after {most_steps} steps")
+
+
+def cross_dissimilar(df: DataFrame, key: str, text: str, is_second: str, threshold: float) -> DataFrame:
+    """(key, is_second): the rows of the first class not more similar than ``threshold`` to any of the second, and those of
+    the second not more similar to any that is left of the first, by 3-character substrings. Each class is bounded as
+    references are."""
+    def apart(rows: DataFrame, others: DataFrame) -> DataFrame:
+        near = nearest_reference(rows, key, text, others.withColumn("_all", F.lit("all")), key, "_all", text)
+        return rows.join(near.filter(F.col("similarity") > threshold).select(F.col("key").alias(key)), key, "left_anti")
+
+    one, two = df.filter(~F.col(is_second)), df.filter(is_second)
+    first = apart(one, two)
+    return first.union(apart(two, first)).select(key, is_second)
+
+
+def first_passing(candidates: DataFrame, key: str, size: str, order: str) -> DataFrame:
+    """(key, first, tried): of each key's candidates the one whose size is nearest to their median, the smaller size and
+    then ``order`` on ties."""
+    middle = candidates.groupBy(key).agg(F.median(size).alias("mid"), F.count(F.lit(1)).alias("tried"))
+    place = F.struct(F.abs(F.col(size) - F.col("mid")).alias("far"), F.col(size), F.col(order))
+    return candidates.join(middle, key).groupBy(key).agg(F.min_by(order, place).alias("first"), F.first("tried").alias("tried"))

@@ -93,3 +93,78 @@ def cluster_sweep(df: DataFrame, vector: str, ks: list[int], seed: int = 42) ->
         out.append((k, float(ClusteringEvaluator().evaluate(model.transform(rows))), float(model.summary.trainingCost), int(min(sizes)), int(max(sizes))))
     rows.unpersist()
     return df.sparkSession.createDataFrame(out, "k int, silhouette double, cost double, least long, most long")
+
+
+def pick_clusters(sweep: DataFrame) -> int:
+    """The number of clusters at which silhouette, cost and balance, each from 0 to 1 over the sweep, agree most (least
+    sample deviation); the smallest on ties."""
+    from fragmill.operators.summaries import min_max, row_std
+
+    rows = sweep.withColumns({"balance": F.col("most") / F.greatest("least", F.lit(1)), "all": F.lit(0)})
+    norm = min_max(rows, "all", ["silhouette", "cost", "balance"])
+    spread = F.round(row_std([F.coalesce(f"norm_{c}", F.lit(0.0)) for c in ("silhouette", "cost", "balance")]), 9)
+    first = norm.select("k", spread.alias("s")).orderBy("s", "k").first()  # one row a number tried
+    if first is None:
+        raise ValueError("no number of clusters is smaller than the number of rows")
+    return first.k
+
+
+def representatives(df: DataFrame, key: str, text: str, ks: list[int], size: int = 256, seed: int = 42) -> DataFrame:
+    """(cluster, representative, size): molecules clustered by fingerprints into the best number of the given ones, each
+    cluster with the member nearest to its centre. Each distinct molecule counts once; what cannot be read is left out."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from fragmill.operators.summaries import medoids
+    from fragmill.plans.lineage import Scratch
+
+    def make(t: str | None) -> dict:
+        g = m.parse(t)
+        places = m.bits(g, size=size) if g else set()
+        return {"fp": [float(i in places) for i in range(size)] if g else None}
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna().groupBy("text").agg(F.min("key").alias("key"))
+    prints = Scratch(df.sparkSession).keep(_map(rows, "key", ["text"], "fp array<double>", make).filter("fp is not null"))
+    k = pick_clusters(cluster_sweep(prints, "fp", ks, seed))
+    vectors = prints.withColumn("features", array_to_vector("fp"))
+    out = KMeans(k=k, seed=seed, maxIter=50).fit(vectors).transform(vectors).select("key", "fp", F.col("prediction").alias("cluster"))
+    return medoids(out, "key", "fp", "cluster").select("cluster", F.col("medoid").alias("representative"), "size")
+
+
+def even_odds(df: DataFrame, score: str, label: str) -> float:
+    """The score at which a fitted logistic curve gives both labels (0, 1) even odds."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select(array_to_vector(F.array(F.col(score).cast("double"))).alias("features"), F.col(label).cast("double").alias("label")).dropna()
+    fitted = LogisticRegression(regParam=0.0, maxIter=100).fit(rows)
+    return -fitted.intercept / fitted.coefficients[0]
+
+
+def plane(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, x, y): the first two principal components of centred vectors; their signs are arbitrary."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("raw"))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="centred").fit(rows).transform(rows)
+    out = PCA(k=2, inputCol="centred", outputCol="p").fit(centred).transform(centred).withColumn("p", vector_to_array("p"))
+    return out.select(key, F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
+
+
+def search(edges: DataFrame, trees: list[int], depths: list[int], folds: int = 2, seed: int = 42):
+    """The best of several forests by cross-validated area under the precision curve, fitted on all edges, and its score."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    judge = BinaryClassificationEvaluator(labelCol="cut", metricName="areaUnderPR")
+    rows = edges.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *edges.columns[:1]), F.lit(folds)))
+    best = (-1.0, 0, 0)
+    for t in trees:
+        for d in depths:
+            scores = []
+            for f in range(folds):
+                fitted = fit_edges(rows.filter(F.col("_fold") != f).drop("_fold"), t, d, seed)
+                held_out = fitted.transform(_vectors(rows.filter(F.col("_fold") == f).drop("_fold")).withColumn("cut", (F.col("side") > 0).cast("double")))
+                scores.append(judge.evaluate(held_out))
+            best = max(best, (sum(scores) / folds, -t, -d))
+    return fit_edges(edges, -best[1], -best[2], seed), best[0]

@@ -16,8 +16,9 @@ from fragmill.chem import describe, splitting
 from fragmill.chem import molecule as m
 
 
-def _map(df: DataFrame, key: str, inputs: list[str], fields: str, make) -> DataFrame:
-    """(key, fields): make(*inputs) gives a dict a row."""
+def _map(df: DataFrame, key: str, inputs: list[str], fields: str, make, hashable: bool = True) -> DataFrame:
+    """(key, fields): make(*inputs) gives a dict a row. Inputs are strings, numbers or arrays, which repeat; with
+    ``hashable`` false also structs."""
     kind = df.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, {fields}"
     names = [f.split()[0] for f in fields.split(", ")]
@@ -32,6 +33,9 @@ def _map(df: DataFrame, key: str, inputs: list[str], fields: str, make) -> DataF
             columns = [batch.column(i + 1).to_pylist() for i in range(len(inputs))]
             out = []
             for args in zip(*([tuple(x) if isinstance(x, list) else x for x in c] for c in columns), strict=True):
+                if not hashable:
+                    out.append(make(*args))
+                    continue
                 if args not in memory:
                     if len(memory) > 20_000:
                         memory.clear()

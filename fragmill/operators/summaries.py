@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def distribution(df: DataFrame, value: str) -> DataFrame:
     """(value, n, share) of non-null values; the total comes from the counted rows, not from df again."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+    return counts.withColumn("share", F.col("n") / counts.select(F.sum("n")).scalar())
 
 
 def conditional(df: DataFrame, given: str, value: str) -> DataFrame:
@@ -84,3 +84,35 @@ def medoids(df: DataFrame, key: str, vector: str, group: str) -> DataFrame:
     far = F.aggregate(F.zip_with(vector, "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
     near = df.join(vector_centroids(df, vector, group), group).withColumn("d", F.round(far, 9))
     return near.groupBy(group).agg(F.min_by(key, F.struct("d", key)).alias("medoid"), F.count(F.lit(1)).alias("size"))
+
+
+def pivot_counts(df: DataFrame, row: str, column: str, names: Sequence[str], value: str) -> DataFrame:
+    """(row, names): how many distinct values each row has in each named column value. The names are given, so nothing is
+    collected to find them; values of other names are not counted."""
+    wide = df.filter(F.col(column).isin(*names)).select(row, column, value).distinct().groupBy(row).pivot(column, list(names)).agg(F.count(value))
+    return wide.na.fill(0, list(names))
+
+
+def perplexity(df: DataFrame, key: str, loss: Column) -> DataFrame:
+    """(key, tokens, perplexity): exp of the mean loss of a sequence's tokens; null losses (padding) do not count."""
+    return df.groupBy(key).agg(F.count(loss).alias("tokens"), F.exp(F.avg(loss)).alias("perplexity"))
+
+
+def finite(value: Column) -> Column:
+    """Null for what JSON cannot say: NaN and infinities."""
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+def display_name(value: Column) -> Column:
+    """``has_three_parts`` as ``Has Three Parts``."""
+    return F.initcap(F.translate(value, "_", " "))
+
+
+def note(**values: Column) -> Column:
+    """``(key=value)`` for each given value, in their order; null values as None."""
+    return F.concat(*[F.concat(F.lit(f"({k}="), F.coalesce(v.cast("string"), F.lit("None")), F.lit(")")) for k, v in values.items()])
+
+
+def prefixed(df: DataFrame, *prefixes: str) -> DataFrame:
+    """The columns whose names start with any prefix, in the order of their names."""
+    return df.select(*[F.col(f"`{c}`") for c in sorted(df.columns) if c.startswith(prefixes)])

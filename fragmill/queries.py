@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmill.functions import fragments as fr
-from fragmill.operators import choose, dictionary, generate, graph, learning, malformed, molecules, quality, sampling, scoring, splitting, summaries
+from fragmill.operators import choose, curation, dictionary, generate, graph, learning, malformed, molecules, quality, sampling, scoring, splitting, summaries
 from fragmill.plans.lineage import Scratch
 from fragmill.sources.tables import table
 from fragmill.streaming import metrics
@@ -465,8 +465,9 @@ def assign_roles(spark, folder):
 
 @query(
     """with recursive p as (select distinct e3_binder_id as a, poi_ligand_id as b from curated where e3_binder_id is not null and poi_ligand_id is not null), e as (select a, b from p union select b, a from p),
-r(item, step) as (select distinct e3_binder_id, 0 from curated where notes like '(method=manual)%' and source = 'vendor_list' and e3_binder_id is not null and e3_binder_id in (select a from e) union select e.b, step + 1 from r join e on e.a = r.item where step < 12)
-select item, min(step) as step from r group by 1"""
+seeds as (select distinct e3_binder_id as item from curated where notes like '(method=manual)%' and source = 'vendor_list' and e3_binder_id in (select a from e)),
+r(item, step) using key (item) as (select item, 0 from seeds union select distinct e.b, step + 1 from r join e on e.a = r.item where e.b not in (select item from recurring.r))
+select item, step from r"""
 )
 def iterative_fixpoint(spark, folder):
     rows = table(spark, folder, "curated", ["notes", "source", "e3_binder_id", "poi_ligand_id"])
@@ -488,6 +489,95 @@ def coverage(spark, folder):
     return rows.agg(F.sum("k").alias("rows"), n.alias("covered"), (n / F.count(F.lit(1))).alias("share"))
 
 
+_BOTH = "select row_id, max(similarity) filter (not is_warhead) as e, max(similarity) filter (is_warhead) as w from {n} group by 1"
+
+
+@query(f"select a.row_id, a.w > a.e and a.w >= 0.2 and b.e > b.w and b.e >= 0.2 as swapped from ({_BOTH.format(n=_NEAREST.replace('poi_ligand_smiles', 'e3_binder_smiles'))}) a join ({_BOTH.format(n=_NEAREST)}) b using (row_id)")
+def role_swap_flag(spark, folder):
+    refs = table(spark, folder, "representatives", ["rep_id", "is_warhead", "smiles"])
+    rows = table(spark, folder, "curated", ["row_id", "e3_binder_smiles", "poi_ligand_smiles"])
+    s = lambda c: F.max(F.when(F.col("cls") == c, F.round("similarity", 6)))
+    near = lambda c, p: dictionary.nearest_reference(rows, "row_id", c, refs, "rep_id", "is_warhead", "smiles").groupBy(F.col("key").alias("row_id")).agg(s("false").alias(f"{p}e"), s("true").alias(f"{p}w"))
+    both = near("e3_binder_smiles", "a").join(near("poi_ligand_smiles", "b"), "row_id")
+    return both.select("row_id", ((F.col("aw") > F.col("ae")) & (F.col("aw") >= 0.2) & (F.col("be") > F.col("bw")) & (F.col("be") >= 0.2)).alias("swapped"))
+
+
+@query(
+    f"""with g as {_REF_GRAMS}, n as (select rep_id, is_warhead, count(*) as n from g group by 1, 2),
+s as (select a.rep_id as e, b.rep_id as w, count(*) / (na.n + nb.n - count(*)) as t from g a join g b using (g) join n na on na.rep_id = a.rep_id join n nb on nb.rep_id = b.rep_id where not a.is_warhead and b.is_warhead group by 1, 2, na.n, nb.n),
+one as (select rep_id from representatives where not is_warhead and rep_id not in (select e from s where t > 0.3)),
+two as (select rep_id from representatives where is_warhead and rep_id not in (select w from s where t > 0.3 and e in (select rep_id from one)))
+select rep_id, false as is_warhead from one union all select rep_id, true from two"""
+)
+def cross_dissimilarity(spark, folder):
+    return dictionary.cross_dissimilar(table(spark, folder, "representatives", ["rep_id", "smiles", "is_warhead"]), "rep_id", "smiles", "is_warhead", 0.3)
+
+
+@query("with c as (select doc_id, linker, len(linker) as n from documents, (select distinct linker_smiles as linker from curated where linker_smiles <> '') where contains(text, linker)), m as (select doc_id, median(n) as mid, count(*) as tried from c group by 1) select doc_id, arg_min(linker, row(abs(n - mid), n, linker)) as first, any_value(tried) as tried from c join m using (doc_id) group by 1")
+def candidate_first_pass(spark, folder):
+    return dictionary.first_passing(containment_join(spark, folder).withColumn("n", F.length("linker")), "doc_id", "n", "linker")
+
+
+@query("select row_id, array_to_string([substr(s, i::int, 1) for i in [1]], '') as initial, least(a, b) as least from (select row_id, s, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) as a, len(list_intersect(x, z)) / len(list_distinct(list_concat(x, z))) as b from (select row_id, e3_binder_smiles as s, list_distinct(string_split(e3_binder_smiles, '')) as x, list_distinct(string_split(poi_ligand_smiles, '')) as y, list_distinct(string_split(linker_smiles, '')) as z from curated where e3_binder_smiles <> '' and poi_ligand_smiles <> '' and linker_smiles <> ''))")
+def least_similarity(spark, folder):
+    rows = table(spark, folder, "curated", ["row_id", "e3_binder_smiles", "poi_ligand_smiles", "linker_smiles"]).filter("e3_binder_smiles <> '' and poi_ligand_smiles <> '' and linker_smiles <> ''")
+    letters = lambda c: F.array_distinct(F.split(c, "(?!^)"))
+    share = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+    e, p, k = letters("e3_binder_smiles"), letters("poi_ligand_smiles"), letters("linker_smiles")
+    return rows.select("row_id", F.substring("e3_binder_smiles", 1, 1).alias("initial"), F.least(share(e, p), share(e, k)).alias("least"))
+
+
+# Reports and shapes
+
+
+@query("select source, " + ", ".join(f"count(distinct labels) filter (split_name = '{x}') as {x}" for x in ("train", "validation", "test", "held_out")) + " from finetuning where split_name in ('train', 'validation', 'test', 'held_out') group by 1")
+def pivot_splits(spark, folder):
+    return summaries.pivot_counts(table(spark, folder, "finetuning", ["source", "split_name", "labels"]), "source", "split_name", ["train", "validation", "test", "held_out"], "labels")
+
+
+@query("select user_id, count(value) filter (not isnan(value)) as tokens, round(exp(avg(value / 1000) filter (not isnan(value))), 6) as perplexity from events group by 1")
+def perplexity(spark, folder):
+    rows = table(spark, folder, "events", ["user_id", "value"])
+    out = summaries.perplexity(rows, "user_id", F.nanvl("value", F.lit(None).cast("double")) / 1000)
+    return out.withColumn("perplexity", F.round("perplexity", 6))
+
+
+@query("select event_id, case when isfinite(1 / (event_id % 3)) then 1 / (event_id % 3) end as ratio from events where event_id % 3 > 0 union all select event_id, null from events where event_id % 3 = 0")
+def json_safe(spark, folder):
+    x = F.col("event_id") % 3
+    ratio = F.when(x == 0, F.lit(float("inf"))).otherwise(1 / F.when(x == 0, F.lit(1)).otherwise(x))
+    return table(spark, folder, "events", ["event_id"]).select("event_id", summaries.finite(ratio).alias("ratio"))
+
+
+@query("select distinct event_type, array_to_string(list_transform(string_split(event_type, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') as shown from events")
+def display_names(spark, folder):
+    return table(spark, folder, "events", ["event_type"]).distinct().select("event_type", summaries.display_name(F.col("event_type")).alias("shown"))
+
+
+@query("select row_id, '(source=' || coalesce(source, 'None') || ')(linker=' || coalesce(linker_smiles is not null, false) || ')' as note from curated")
+def note_builder(spark, folder):
+    return table(spark, folder, "curated", ["row_id", "source", "linker_smiles"]).select("row_id", summaries.note(source=F.col("source"), linker=F.col("linker_smiles").isNotNull()).alias("note"))
+
+
+@query("select e3_binder_id, e3_binder_smiles, e3_binder_smiles_with_direction from curated")
+def prefix_columns(spark, folder):
+    return summaries.prefixed(table(spark, folder, "curated"), "e3_")
+
+
+@query("select * from (" + " union all ".join(f"select model_name, 'flags' as metric, '{n}' as reduce, round({e}, 9) as value from predictions group by 1" for n, e in {"mean": "avg(n_flags)", "max": "max(n_flags)::double"}.items()) + ")")
+def metric_filter(spark, folder):
+    rows = report_long(spark, folder)
+    return rows.filter(F.col("metric").rlike("^fl") & F.col("reduce").isin("mean", "max"))
+
+
+@query("with m as (select e3_binder_id as k, list_sort(list(distinct linker_smiles)) as v from curated where e3_binder_id is not null and linker_smiles is not null group by 1) select distinct poi_ligand_id as k, coalesce(v, []) as linkers from curated left join m on m.k = poi_ligand_id where poi_ligand_id is not null")
+def map_with_default(spark, folder):
+    rows = table(spark, folder, "curated", ["e3_binder_id", "poi_ligand_id", "linker_smiles"])
+    held = summaries.multimap(rows, "e3_binder_id", "linker_smiles").withColumnRenamed("e3_binder_id", "k")
+    asked = rows.select(F.col("poi_ligand_id").alias("k")).dropna().distinct()
+    return asked.join(held, "k", "left").select("k", F.coalesce("members", F.array().cast("array<string>")).alias("linkers"))
+
+
 # Graphs, molecules, sampling, streams
 
 _EDGES = "(select distinct 0 as g, least(e3_binder_id, poi_ligand_id) as u, greatest(e3_binder_id, poi_ligand_id) as v from curated where e3_binder_id <> poi_ligand_id)"
@@ -508,6 +598,21 @@ def edge_two_hops(spark, folder):
     return graph.exactly_two_away(_ligand_edges(spark, folder), "g").select("u", "n2")
 
 
+_ORDER_EDGES = "(select distinct l_orderkey as g, l_suppkey as u, l_partkey % 7 + 1000000 as v from lineitem)"
+_WALK = f"e as (select g, u, v from {_ORDER_EDGES} union select g, v, u from {_ORDER_EDGES}), one as (select g, u, v from e), two as (select distinct a.g, a.u, b.v from one a join e b on a.g = b.g and a.v = b.u where a.u <> b.v and (a.g, a.u, b.v) not in (select g, u, v from one)), three as (select distinct a.g, a.u, b.v from two a join e b on a.g = b.g and a.v = b.u where a.u <> b.v and (a.g, a.u, b.v) not in (select g, u, v from one union all select g, u, v from two))"
+
+
+@query(f"with {_WALK} " + " union all ".join(f"select g, u, {k} as hop, count(*) as n from {t} group by 1, 2" for k, t in ((1, "one"), (2, "two"), (3, "three"))))
+def edge_degree_khop(spark, folder):
+    rows = table(spark, folder, "lineitem", ["l_orderkey", "l_suppkey", "l_partkey"])
+    return graph.khop(rows.select(F.col("l_orderkey").alias("g"), F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 7 + 1000000).alias("v")), "g", 3)
+
+
+@query("with t as (select l_orderkey, sum(l_quantity) as s from lineitem group by 1), p as (select l_orderkey, a.l_linenumber as a, b.l_linenumber as b, round(sqrt((pow(a.l_quantity - s / 3, 2) + pow(b.l_quantity - s / 3, 2) + pow(s - a.l_quantity - b.l_quantity - s / 3, 2)) / 3), 6) as spread from lineitem a join lineitem b using (l_orderkey) join t using (l_orderkey) where a.l_linenumber < b.l_linenumber) select l_orderkey, m.a, m.b, m.spread from (select l_orderkey, min(struct_pack(spread := spread, a := a, b := b)) as m from p group by 1)")
+def pair_enumeration(spark, folder):
+    return graph.pairs_by_balance(table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"]), "l_orderkey", "l_linenumber", "l_quantity")
+
+
 @query("select distinct l_orderkey, a.l_linenumber as a, b.l_linenumber as b from lineitem a join lineitem b using (l_orderkey) where a.l_linenumber < b.l_linenumber and (a.l_suppkey in (b.l_suppkey, b.l_partkey + 1000000) or a.l_partkey + 1000000 in (b.l_partkey + 1000000, b.l_suppkey))")
 def line_graph(spark, folder):
     rows = table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey"])
@@ -569,7 +674,7 @@ def molecule_descriptors(spark, folder):
     return molecules.descriptors(table(spark, folder, "curated", ["row_id", "linker_smiles_with_direction"]), "row_id", "linker_smiles_with_direction")
 
 
-@query("with s as (select source as v, sum(count(*)) over (order by source) / sum(count(*)) over () as upto from curated where source is not null group by source) select sample_id, coalesce((select min(v) from s where upto = (select min(upto) from s where upto > ((sample_id * 7919 + 42) % 10007) / 10007.0)), (select max(v) from s)) as source from finetuning")
+@query("with s as (select source as v, sum(count(*)) over (order by source) / sum(count(*)) over () as upto from curated where source is not null group by source) select sample_id, coalesce((select min(v) from s where upto = (select min(upto) from s where upto > ((sample_id % 2147483647 * 48271 + 42) % 2147483647) / 2147483647.0)), (select max(v) from s)) as source from finetuning")
 def weighted_sample(spark, folder):
     shares = summaries.distribution(table(spark, folder, "curated", ["source"]), "source")
     return sampling.weighted(table(spark, folder, "finetuning", ["sample_id"]), "sample_id", shares, "source", "share")
@@ -585,7 +690,7 @@ def compatible_pairs(spark, folder):
     return known.join(e.select("e3").distinct(), "e3", "left_semi").join(p.select("poi").distinct(), "poi", "left_semi").join(both, ["e3", "poi"], "left").select("e3", "poi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("select sample_id, unnest(range(case when (sample_id * 7919 + 7) % 100 < 30 then 4 else 1 end))::int as copy from finetuning")
+@query("select sample_id, unnest(range(case when (sample_id % 2147483647 * 48271 + 7) % 2147483647 % 100 < 30 then 4 else 1 end))::int as copy from finetuning")
 def augment_repeat(spark, folder):
     return sampling.repeat_some(table(spark, folder, "finetuning", ["sample_id"]), "sample_id", 4, 30)
 
@@ -668,8 +773,31 @@ def attachment_group_distribution(spark, folder):
 
 @query()
 def generated_molecules(spark, folder):
-    rows = table(spark, folder, "curated", ["e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction"])
-    return generate.generate(rows, "e3_binder_smiles_with_direction", "linker_smiles_with_direction", "poi_ligand_smiles_with_direction", 200)
+    """As many draws as there are curated records."""
+    rows = table(spark, folder, "curated", _LABELLED)
+    return generate.generate(rows, *_LABELLED, rows.count())
+
+
+@query()
+def generated_by_groups(spark, folder):
+    rows = table(spark, folder, "curated", _LABELLED)
+    return generate.by_groups(rows, *_LABELLED, rows.count())
+
+
+@query()
+def covering_molecules(spark, folder):
+    return generate.cover(table(spark, folder, "curated", _LABELLED), *_LABELLED)
+
+
+@query()
+def ligand_representatives(spark, folder):
+    rows = table(spark, folder, "curated", ["row_id", "e3_binder_smiles_with_direction"])
+    return learning.representatives(rows, "row_id", "e3_binder_smiles_with_direction", [10, 25, 50])
+
+
+@query()
+def chemical_plane(spark, folder):
+    return learning.plane(table(spark, folder, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding")
 
 
 def _half(rows, key, which):
@@ -729,6 +857,37 @@ def split_adaptive(spark, folder):
     return _split(spark, folder, "adaptive", model=_model(spark, folder), beams=_beams(spark, folder))
 
 
+def _dictionary(spark, folder):
+    """Known parts to begin with: those of the records curated by hand."""
+    return _parts_of(table(spark, folder, "curated", ["notes", *_LABELLED]).filter(F.col("notes").startswith("(method=manual)")))
+
+
+def _parts_of(rows):
+    return rows.select(F.inline(F.array(*[F.struct(F.lit(r).alias("role"), F.col(c).alias("ligand")) for r, c in zip(("e3", "linker", "poi"), _LABELLED, strict=True)])))
+
+
+def _curated_parts(spark, folder):
+    """The parts of every curated record, as a dictionary."""
+    return _parts_of(table(spark, folder, "curated", _LABELLED))
+
+
+@query()
+def dictionary_split(spark, folder):
+    """All molecules split by the parts of all curated records."""
+    return curation.split_known(_whole_molecules(spark, folder), "protac_id", "protac_smiles", _curated_parts(spark, folder))
+
+
+@query()
+def dictionary_growth(spark, folder):
+    """All molecules split from few known parts, growing the dictionary to its fixpoint."""
+    return curation.curate(_whole_molecules(spark, folder), "protac_id", "protac_smiles", _dictionary(spark, folder))[0]
+
+
+@query()
+def substructure_join(spark, folder):
+    return curation.containing(_whole_molecules(spark, folder), "protac_id", "protac_smiles", table(spark, folder, "representatives", ["rep_id", "smiles"]), "rep_id", "smiles")
+
+
 @query()
 def split_metrics(spark, folder):
     rows = _known_splits(spark, folder)
