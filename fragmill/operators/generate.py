@@ -64,7 +64,7 @@ def by_groups(known: DataFrame, e3: str, linker: str, poi: str, n: int, seed: in
     held = rows.join(group("e3", 2), "e3").join(group("poi", 1), "poi")
     out = known.sparkSession.range(n).withColumnRenamed("id", "draw")
     for k, name in enumerate(("e3", "poi")):
-        drawn = sampling.weighted(out.select("draw"), "draw", summaries.distribution(held, f"{name}_group"), f"{name}_group", "share", seed + k)
+        drawn = sampling.weighted(out.select("draw"), "draw", summaries.distribution(held, f"{name}_group"), f"{name}_group", "share", number=F.pmod(F.xxhash64("draw", F.lit(seed + k)), F.lit(sampling.MODULUS)))
         out = out.join(drawn, "draw")
 
     def pick(out: DataFrame, keys: list[str], name: str, salt: int) -> DataFrame:

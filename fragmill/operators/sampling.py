@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The prime modulus and the factor of a multiplicative generator.
-MODULUS, FACTOR = 2147483647, 48271
+#: A prime, and the factor nearest to its golden section: multiples of it spread evenly over the prime's remainders.
+MODULUS, FACTOR = 2147483647, 1327217885
 
 
 def drawn(key: Column, seed: int) -> Column:
@@ -17,8 +17,9 @@ def drawn(key: Column, seed: int) -> Column:
     return F.pmod(F.pmod(key, F.lit(MODULUS)) * FACTOR + F.lit(seed), F.lit(MODULUS))
 
 
-def weighted(rows: DataFrame, key: str, shares: DataFrame, value: str, share: str, seed: int = 42, most: int = 100_000) -> DataFrame:
+def weighted(rows: DataFrame, key: str, shares: DataFrame, value: str, share: str, seed: int = 42, most: int = 100_000, number: Column | None = None) -> DataFrame:
     """(key, value): for each row a value drawn with the given shares, by inverse distribution; null if there is none.
+    ``number`` is what is drawn by, 0..MODULUS-1, instead of one from an integer key.
 
     shares is a small table of (value, share), shares relative to their sum; more than ``most`` rows are refused. Every
     value whose share exceeds one in MODULUS can be drawn. Nulls and shares of nought or less are left out.
@@ -40,7 +41,7 @@ def weighted(rows: DataFrame, key: str, shares: DataFrame, value: str, share: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at.astype(np.int32))], names=["key", "at"])
 
     table = rows.sparkSession.createDataFrame([(i, v) for i, (v, _) in enumerate(steps)], f"at int, `{value}` {kind}")
-    numbers = rows.select(F.col(key).alias("key"), F.coalesce(drawn(F.col(key).cast("long"), seed), F.lit(0)).alias("u"))
+    numbers = rows.select(F.col(key).alias("key"), F.coalesce(drawn(F.col(key).cast("long"), seed) if number is None else number, F.lit(0)).alias("u"))
     out = numbers.mapInArrow(place, f"key {rows.schema[key].dataType.simpleString()}, at int")
     return out.join(F.broadcast(table), "at", "left").select(F.col("key").alias(key), value)
 

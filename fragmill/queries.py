@@ -518,13 +518,16 @@ def candidate_first_pass(spark, folder):
     return dictionary.first_passing(containment_join(spark, folder).withColumn("n", F.length("linker")), "doc_id", "n", "linker")
 
 
-@query("select row_id, array_to_string([substr(s, i::int, 1) for i in [1]], '') as initial, least(a, b) as least from (select row_id, s, len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) as a, len(list_intersect(x, z)) / len(list_distinct(list_concat(x, z))) as b from (select row_id, e3_binder_smiles as s, list_distinct(string_split(e3_binder_smiles, '')) as x, list_distinct(string_split(poi_ligand_smiles, '')) as y, list_distinct(string_split(linker_smiles, '')) as z from curated where e3_binder_smiles <> '' and poi_ligand_smiles <> '' and linker_smiles <> ''))")
+_LETTERS = "list_distinct(regexp_extract_all({}, '(?s).'))"
+
+
+@query(f"select row_id, least(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), len(list_intersect(x, z)) / len(list_distinct(list_concat(x, z)))) as least from (select row_id, {', '.join(_LETTERS.format(c) + ' as ' + n for c, n in (('e3_binder_smiles', 'x'), ('poi_ligand_smiles', 'y'), ('linker_smiles', 'z')))} from curated where e3_binder_smiles <> '' and poi_ligand_smiles <> '' and linker_smiles <> '')")
 def least_similarity(spark, folder):
     rows = table(spark, folder, "curated", ["row_id", "e3_binder_smiles", "poi_ligand_smiles", "linker_smiles"]).filter("e3_binder_smiles <> '' and poi_ligand_smiles <> '' and linker_smiles <> ''")
-    letters = lambda c: F.array_distinct(F.split(c, "(?!^)"))
+    letters = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(.)"), 1))
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
     e, p, k = letters("e3_binder_smiles"), letters("poi_ligand_smiles"), letters("linker_smiles")
-    return rows.select("row_id", F.substring("e3_binder_smiles", 1, 1).alias("initial"), F.least(share(e, p), share(e, k)).alias("least"))
+    return rows.select("row_id", F.least(share(e, p), share(e, k)).alias("least"))
 
 
 # Reports and shapes
@@ -674,7 +677,7 @@ def molecule_descriptors(spark, folder):
     return molecules.descriptors(table(spark, folder, "curated", ["row_id", "linker_smiles_with_direction"]), "row_id", "linker_smiles_with_direction")
 
 
-@query("with s as (select source as v, sum(count(*)) over (order by source) / sum(count(*)) over () as upto from curated where source is not null group by source) select sample_id, coalesce((select min(v) from s where upto = (select min(upto) from s where upto > ((sample_id % 2147483647 * 48271 + 42) % 2147483647) / 2147483647.0)), (select max(v) from s)) as source from finetuning")
+@query("with s as (select source as v, sum(count(*)) over (order by source) / sum(count(*)) over () as upto from curated where source is not null group by source) select sample_id, coalesce((select min(v) from s where upto = (select min(upto) from s where upto > ((sample_id % 2147483647 * 1327217885 + 42) % 2147483647) / 2147483647.0)), (select max(v) from s)) as source from finetuning")
 def weighted_sample(spark, folder):
     shares = summaries.distribution(table(spark, folder, "curated", ["source"]), "source")
     return sampling.weighted(table(spark, folder, "finetuning", ["sample_id"]), "sample_id", shares, "source", "share")
@@ -690,7 +693,7 @@ def compatible_pairs(spark, folder):
     return known.join(e.select("e3").distinct(), "e3", "left_semi").join(p.select("poi").distinct(), "poi", "left_semi").join(both, ["e3", "poi"], "left").select("e3", "poi", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("select sample_id, unnest(range(case when (sample_id % 2147483647 * 48271 + 7) % 2147483647 % 100 < 30 then 4 else 1 end))::int as copy from finetuning")
+@query("select sample_id, unnest(range(case when (sample_id % 2147483647 * 1327217885 + 7) % 2147483647 % 100 < 30 then 4 else 1 end))::int as copy from finetuning")
 def augment_repeat(spark, folder):
     return sampling.repeat_some(table(spark, folder, "finetuning", ["sample_id"]), "sample_id", 4, 30)
 
