@@ -101,6 +101,42 @@ class Tree:
         if self.entries > self.most:
             self.grow()
 
+    def insert_many(self, x: np.ndarray) -> None:
+        """Vectors at once: those within the threshold of a leaf entry, by one product with all of them, are absorbed
+        together; only the others go down the tree one by one."""
+        held = [(node, i) for node in self._leaf_nodes() for i in range(node.k)]
+        rest = np.arange(len(x))
+        if held and len(x):
+            c = np.array([node.ls[i] / node.n[i] for node, i in held])
+            d = (x**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * x @ c.T
+            best = d.argmin(1)
+            near = d[rest, best] <= self.threshold**2
+            label, rest = best[near], rest[~near]
+            n, ss = np.bincount(label, minlength=len(held)), np.bincount(label, (x[near] ** 2).sum(1), len(held))
+            sums = np.zeros((len(held), self.size))
+            np.add.at(sums, label, x[near])
+            for k in np.flatnonzero(n):
+                node, i = held[k]
+                node.n[i] += n[k]
+                node.ls[i] += sums[k]
+                node.ss[i] += ss[k]
+            self._sum_up(self.root)
+        for k in rest:
+            self.insert(1.0, x[k], float(x[k] @ x[k]))
+
+    def _leaf_nodes(self) -> list[Node]:
+        out, stack = [], [self.root]
+        while stack:
+            node = stack.pop()
+            out += [node] if node.leaf else []
+            stack += node.children
+        return out
+
+    def _sum_up(self, node: Node) -> None:
+        for i, child in enumerate(node.children):
+            self._sum_up(child)
+            node.n[i], node.ls[i], node.ss[i] = child.total()
+
     def _halves(self, node: Node) -> tuple[Node, Node]:
         c = node.ls[: node.k] / node.n[: node.k, None]
         d = ((c[:, None, :] - c[None, :, :]) ** 2).sum(2)
@@ -146,10 +182,9 @@ def _summaries(tree: Tree) -> pa.RecordBatch:
 def _first(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
     tree = Tree(size, most=most)
     for whole in batches:
-        for lo in range(0, whole.num_rows, 2000):
-            values = whole.column(1).slice(lo, 2000).to_pylist()
-            for x in vectors(values, size):
-                tree.insert(1.0, x, float(x @ x))
+        for lo in range(0, whole.num_rows, 500):
+            values = whole.column(1).slice(lo, 500).to_pylist()
+            tree.insert_many(vectors(values, size))
     yield _summaries(tree)
 
 
@@ -233,3 +268,11 @@ class Clustering:
         w = Window.partitionBy("cluster").orderBy("distance", "id")
         top = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= members)
         return top.join(sizes, "cluster").select("cluster", "size", "spread", "rank", "id", "distance")
+
+
+def kept_together(groups: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(rows, groups, kept): of groups (id, grp) of similar records, the share of records that stand in the cluster
+    (id, cluster) which holds most of their group. Null where there are no groups."""
+    both = groups.join(clusters, "id").groupBy("grp", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    each = both.groupBy("grp").agg(F.max("n").alias("most"), F.sum("n").alias("all"))
+    return each.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("groups"), F.try_divide(F.sum("most"), F.sum("all")).alias("kept"))

@@ -22,6 +22,13 @@ g as (select distinct sample_id, train, f, substr(p, i::int, 4) as g from (selec
 n as (select sample_id, f, count(*) as n from g group by 1, 2),
 b as (select x.sample_id as a, y.sample_id as b, x.f as f, count(*) as k from g x join g y on x.f = y.f and x.g = y.g where x.train and not coalesce(y.train, false) group by 1, 2, 3)
 select distinct least(a, b) as sample_a, greatest(a, b) as sample_b from b join n na on na.sample_id = a and na.f = b.f join n nb on nb.sample_id = b and nb.f = b.f where k >= 0.9 * (na.n + nb.n - k)""",
+    "p4_classes": f"""with r as (select sample_id, split_name = 'train' as train, 'text' as f, {_FOLD.format('text')} as v from finetuning union all select sample_id, split_name = 'train', 'labels', {_FOLD.format('labels')} from finetuning),
+c as (select f, v, min(sample_id) as class_id, bool_or(train) as train, bool_or(not coalesce(train, false)) as other from r where len(v) >= 4 group by 1, 2), p as (select f, class_id, train, other, unnest(string_split(v, '.')) as p from c),
+g as (select distinct f, class_id, train, other, substr(p, i::int, 4) as g from (select *, unnest(range(1, len(p) - 2)) as i from p where len(p) >= 4)), n as (select f, class_id, count(*) as n from g group by 1, 2),
+b as (select x.f as f, x.class_id as a, y.class_id as b, count(*) as k from g x join g y on x.f = y.f and x.g = y.g where x.train and y.other and x.class_id <> y.class_id group by 1, 2, 3),
+l as (select b.f as f, a, b from b join n na on na.f = b.f and na.class_id = a join n nb on nb.f = b.f and nb.class_id = b where k >= 0.9 * (na.n + nb.n - k)),
+d as (select f, a, count(distinct b) as links from (select f, a, b from l union select f, b, a from l) group by 1, 2)
+select sample_id, r.f as field, c.class_id, coalesce(links, 0) as links from r join c on c.f = r.f and c.v = r.v left join d on d.f = r.f and d.a = c.class_id""",
     "p5_found": f"""with recursive part as (select sample_id as rec, unnest(string_split({_FOLD.format('labels')}, '.')) as p from finetuning),
 ent as (select row_id as rec, 'e' || {_FOLD.format('e3_binder_smiles_with_direction')} as k from curated union select row_id, 'p' || {_FOLD.format('poi_ligand_smiles_with_direction')} from curated
 union select rec, case when contains(p, '[*:2]') then 'e' else 'p' end || p from part where contains(p, '[*:2]') <> contains(p, '[*:1]')),

@@ -302,6 +302,17 @@ def pairs(df: DataFrame, id_col: str, fields: Sequence[str], split: str, **kw) -
     return both.select(F.least("x", "y").alias("sample_a"), F.greatest("x", "y").alias("sample_b")).distinct()
 
 
+def classes(df: DataFrame, id_col: str, fields: Sequence[str], split: str, **kw) -> DataFrame:
+    """(id, field, class_id, links): each row's class of copies by each field, known by its smallest id, and the number of
+    classes that rows of it are linked with across the splits; rows without a value are left out. As ``overlaps`` else."""
+    links, members = overlaps(df, id_col, fields, split, **kw)
+    both = links.select("field", F.inline(F.array(F.struct(F.col("a").alias("record"), F.col("b").alias("other")), F.struct(F.col("b").alias("record"), F.col("a").alias("other")))))
+    counts = both.filter("record <> other").distinct().groupBy("field", "record").agg(F.count(F.lit(1)).alias("links"))
+    least = members.groupBy("field", "record").agg(F.min("id").alias("class_id"))
+    name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
+    return members.join(least, ["field", "record"]).join(counts, ["field", "record"], "left").select(F.col("id").alias(id_col), name.alias("field"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def report(df: DataFrame, id_col: str, fields: Sequence[str], split: str, source: str, **kw) -> DataFrame:
     """(split_name, source, rows, overlapping, exact, mean_coverage): rows outside train that also stand in train."""
     require(df, [source])

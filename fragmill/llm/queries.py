@@ -32,11 +32,23 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("id").alias("rec_id"), F.col("cluster").alias("cluster_id"))
 
 
+def _clusterings(spark: SparkSession, folder: str) -> dict[str, birch.Clustering]:
+    return {
+        "protac_smiles": birch.Clustering(table(spark, folder, "curated", ["row_id", "protac_smiles"]), "row_id", "protac_smiles"),
+        "poi_ligand_smiles_with_direction": birch.Clustering(table(spark, folder, "finetuning", ["sample_id", "poi_ligand_smiles_with_direction"]), "sample_id", "poi_ligand_smiles_with_direction"),
+    }
+
+
 def p3_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    a = birch.Clustering(table(spark, folder, "curated", ["row_id", "protac_smiles"]), "row_id", "protac_smiles")
-    b = birch.Clustering(table(spark, folder, "finetuning", ["sample_id", "poi_ligand_smiles_with_direction"]), "sample_id", "poi_ligand_smiles_with_direction")
-    named = lambda c, n: c.described().withColumn("field", F.lit(n))
-    return named(a, "protac_smiles").union(named(b, "poi_ligand_smiles_with_direction"))
+    a, b = (c.described().withColumn("field", F.lit(n)) for n, c in _clusterings(spark, folder).items())
+    return a.union(b)
+
+
+def p3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the clusters keep together what p3_found groups."""
+    groups = p3_found(spark, folder).select(F.col("rec_id").alias("id"), F.col("cluster_id").alias("grp"))
+    a, b = (birch.kept_together(groups, c.assigned()).withColumn("field", F.lit(n)) for n, c in _clusterings(spark, folder).items())
+    return a.union(b)
 
 
 def _tuning(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,6 +59,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.pairs(_tuning(spark, folder), "sample_id", ["text", "labels"], "split_name")
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample_id, field, class_id, links): the class of copies of each row by each field, and how many classes of the
+    other side it is linked with."""
+    return overlap.classes(_tuning(spark, folder), "sample_id", ["text", "labels"], "split_name")
+
+
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.report(_tuning(spark, folder), "sample_id", ["text", "labels"], "split_name", "source")
 
@@ -107,4 +125,4 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.repair(table(spark, folder, "documents", ["doc_id", "text", "lang"]))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_clusters, p4_found, p4_report, p5_found, p5_splits, p5_shares, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_clusters, p3_quality, p4_found, p4_classes, p4_report, p5_found, p5_splits, p5_shares, p6_found, p6_overlaps, p7_found, p7_mixture, p7_shares, p8_found, p8_restored)}

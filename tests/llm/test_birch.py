@@ -40,6 +40,27 @@ def test_features_are_additive_and_bounded():
     assert np.allclose(sum(e[1] for e in leaves), x.sum(0)) and np.isclose(sum(e[2] for e in leaves), (x**2).sum())
 
 
+def test_batches_are_single_insertions_together():
+    """Sums stay exact and bounded when vectors are absorbed by batches, and inner nodes hold the sums of what is below."""
+    rng = np.random.default_rng(2)
+    x = np.abs(rng.normal(size=(3000, 16))) + np.repeat(np.eye(16)[:3] * 9, 1000, axis=0)
+    x = x[rng.permutation(3000)] / np.linalg.norm(x, axis=1, keepdims=True)
+    t = B.Tree(16, width=6, most=60)
+    for k in range(0, 3000, 250):
+        t.insert_many(x[k : k + 250])
+    leaves = list(t.leaves())
+    assert len(leaves) <= 60 and sum(e[0] for e in leaves) == 3000 and np.allclose(sum(e[1] for e in leaves), x.sum(0))
+    assert np.isclose(t.root.total()[0], 3000) and np.allclose(t.root.total()[1], x.sum(0))
+    t.insert_many(np.zeros((0, 16)))
+
+
+def test_quality_is_a_share(spark):
+    groups = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "id long, grp long")
+    clusters = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 2), (5, 2), (6, 2)], "id long, cluster int")
+    assert tuple(B.kept_together(groups, clusters).first()) == (5, 2, 0.8)
+    assert tuple(B.kept_together(groups.limit(0), clusters).first()) == (0, 0, None)
+
+
 def test_ward_joins_the_nearest():
     pts = np.array([[0.0], [0.1], [5.0], [5.1], [9.0]])
     label = B.ward(np.ones(5), pts, 3)
