@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fragmill.plans.lineage import Scratch
 from fragmill.sources.tables import require
 
 #: Offsets of the words a seed looks at. All span 12 words or fewer.
@@ -206,10 +207,13 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     size = pairs.agg(F.coalesce(F.sum(F.size(F.split("t", r"\s+"))), F.lit(0))).first()[0]
     n_blocks = max(1, -(-size // block_words))
     read = docs.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
-    result = None
+    result, scratch = None, Scratch(spark) if n_blocks > 1 else None
     for b in range(n_blocks):
         block = pairs.filter(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == b) if n_blocks > 1 else pairs
         index = spark.sparkContext.broadcast(Index([(r.i, r.t) for r in block.sort("i").collect()], masks, run))
         found = read.mapInArrow(lambda it, index=index: _search(it, index.value, arrow), out)
+        if scratch:  # the driver holds one block at a time: its hits are written before the next is collected
+            found = scratch.keep(found)
+            index.destroy()
         result = found if result is None else result.union(found)
     return result

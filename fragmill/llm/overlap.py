@@ -166,12 +166,12 @@ def _pieces(values: list[str]) -> list[list[str]]:
     return [v.split(".") for v in values]
 
 
-def _keyed(batches: Iterator[pa.RecordBatch], threshold: float, wide: bool) -> Iterator[pa.RecordBatch]:
+def _keyed(batches: Iterator[pa.RecordBatch], threshold: float, wide: bool, parts: int) -> Iterator[pa.RecordBatch]:
     """Of (field, h, value): (field, h, key)."""
     for whole in batches:
         for lo in range(0, whole.num_rows, 1000):
             batch = whole.slice(lo, 1000)
-            row, key = shared_keys(_pieces(batch.column(2).to_pylist()), threshold, wide)
+            row, key = shared_keys(_pieces(batch.column(2).to_pylist()), threshold, wide, parts)
             at = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key.view(np.int64))], names=["field", "h", "key"])
 
@@ -261,13 +261,13 @@ def _aligned(batches: Iterator[pa.RecordBatch], threshold: float, k: int, w: int
         yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(sims, pa.float64()), *columns], names=names)
 
 
-def overlaps(df: DataFrame, id_col: str, fields: Sequence[str], split: str, train: str = "train", threshold: float = 0.9, k: int = 16, w: int = 12) -> tuple[DataFrame, DataFrame]:
+def overlaps(df: DataFrame, id_col: str, fields: Sequence[str], split: str, train: str = "train", threshold: float = 0.9, k: int = 16, w: int = 12, parts: int = 5) -> tuple[DataFrame, DataFrame]:
     """(links, members). links: (field, a, b, similarity, anchors, covered_a, covered_b) of records of the train split (a)
     and of any other split (b) whose sets of 4-character substrings, over the pieces between the dots of the folded
     field, have a similarity of ``threshold`` or more; covered are the shares of their characters that align. members:
     (field, record, id, is_train) says which rows state a record.
 
-    No link is missed. Null and blank values and those without a piece of four characters match nothing. A null split is another split
+    No link is missed, whatever ``parts``: more make more keys a record and fewer pairs that share one by chance. Null and blank values and those without a piece of four characters match nothing. A null split is another split
     than train. Rows with a null id are left out. Other columns are ignored.
     """
     require(df, [id_col, split, *fields])
@@ -278,7 +278,7 @@ def overlaps(df: DataFrame, id_col: str, fields: Sequence[str], split: str, trai
     classes = rows.groupBy("field", "record", "value").agg(F.max(F.col("is_train").cast("int")).alias("train"), F.max((~F.col("is_train")).cast("int")).alias("other"))
     # Records are joined by 64 bits; should two have the same, both are compared.
     classes = scratch.keep(classes.select("field", "record", F.xxhash64("value").alias("h"), "train", "other", "value"))
-    side = lambda c, wide: classes.filter(f"{c} = 1").select("field", "h", "value").mapInArrow(lambda it: _keyed(it, threshold, wide), "field int, h long, key long")
+    side = lambda c, wide: classes.filter(f"{c} = 1").select("field", "h", "value").mapInArrow(lambda it: _keyed(it, threshold, wide, parts), "field int, h long, key long")
     left, right = side("train", False).withColumnRenamed("h", "ha"), side("other", True).withColumnRenamed("h", "hb")
     marks = scratch.keep(classes.select("field", "h", "value").mapInArrow(_marked, "field int, h long, n long, " + ", ".join(f"w{j} long" for j in range(WORDS))))
     of = lambda c: marks.select("field", F.col("h").alias(f"h{c}"), *[F.col(x).alias(f"{x}{c}") for x in ("n", *(f"w{j}" for j in range(WORDS)))])
