@@ -48,11 +48,14 @@ def contained(df: DataFrame, key: str, text: str, patterns: DataFrame, pattern_i
     usable = patterns.select(F.col(pattern_id).cast("string").alias("i"), F.col(pattern).alias("p")).filter("i is not null and p <> ''")
     blocks = max(1, -(-usable.count() // most))
     schema = df.select(F.col(key), F.lit("").alias(pattern_id)).schema
-    result = None
+    result, scratch = None, Scratch(df.sparkSession) if blocks > 1 else None
     for b in range(blocks):
         block = usable.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else usable
         held = df.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
         found = df.select(key, text).mapInArrow(lambda it, held=held: _search(it, held.value), schema)
+        if scratch:  # one block at a time: its hits are written before the next is collected
+            found = scratch.keep(found)
+            held.destroy()
         result = found if result is None else result.union(found)
     return result
 

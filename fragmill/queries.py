@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fragmill.functions import fragments as fr
-from fragmill.operators import choose, curation, dictionary, generate, graph, learning, malformed, molecules, quality, sampling, scoring, splitting, summaries
+from fragmill.operators import choose, curation, dictionary, generate, graph, learning, malformed, molecules, qc, quality, sampling, scoring, splitting, summaries
 from fragmill.plans.lineage import Scratch
 from fragmill.sources.tables import table
 from fragmill.streaming import metrics
@@ -891,6 +891,14 @@ def substructure_join(spark, folder):
     return curation.containing(_whole_molecules(spark, folder), "protac_id", "protac_smiles", table(spark, folder, "representatives", ["rep_id", "smiles"]), "rep_id", "smiles")
 
 
+@query()
+def qc_rows(spark, folder):
+    """All checks of the known split of every molecule."""
+    refs = _few(table(spark, folder, "representatives", ["rep_id", "smiles", "is_warhead"]).orderBy("rep_id"))
+    rows = Scratch(spark).keep(_known_splits(spark, folder))
+    return qc.check(rows, "protac_id", "protac_smiles", "label", [r.smiles for r in refs if not r.is_warhead], [r.smiles for r in refs if r.is_warhead], _model(spark, folder))
+
+
 @query()
 def split_metrics(spark, folder):
     rows = _known_splits(spark, folder)

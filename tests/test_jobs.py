@@ -86,6 +86,14 @@ def test_first_share_counts_ranges(spark):
         sampling.first_share(df, "k", 1.5)
 
 
+def test_patterns_beyond_one_block(spark):
+    texts = spark.createDataFrame([(1, "abcabc"), (2, "xbcx"), (3, None), (4, "")], "k long, t string")
+    patterns = spark.createDataFrame([("p1", "abc"), ("p2", "bc"), ("p3", "x"), ("p4", ""), (None, "b"), ("p5", None)], "i string, p string")
+    want = {(1, "p1"), (1, "p2"), (2, "p2"), (2, "p3")}
+    for most in (1, 2, 100):
+        assert {tuple(r) for r in dictionary.contained(texts, "k", "t", patterns, "i", "p", most).collect()} == want
+
+
 def test_growth_reads_each_step_once(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("d", None)], "a string, b string")
     got = {r.item: r.step for r in dictionary.grow(pairs, spark.createDataFrame([("a",), ("q",)], "item string")).collect()}

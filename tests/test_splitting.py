@@ -7,7 +7,7 @@ from fragmill.chem import describe as D
 from fragmill.chem import molecule as m
 from fragmill.chem import patterns as P
 from fragmill.chem import splitting as C
-from fragmill.operators import learning, molecules, scoring
+from fragmill.operators import learning, molecules, qc, scoring
 from fragmill.operators import splitting as S
 from fragmill.queries import _known_splits, _whole_molecules
 
@@ -81,6 +81,22 @@ def test_flags_in_python_are_the_flags_in_sql(spark, refs):
         assert (";".join(scoring.flags_of(scoring.facts(r.label, r.protac_smiles, refs.e3s, refs.warheads))) or None) == reasons[r.protac_id]
 
 
+def test_quality_checks_of_rows(spark, refs, model):
+    df = _known_splits(spark, SF).limit(40).unionByName(spark.createDataFrame([("null", None, None), ("bad", "x", "C.C.C")], "protac_id string, protac_smiles string, label string"))
+    table = spark.read.parquet(f"{SF}/representatives.parquet").collect()
+    e3s, warheads = [r.smiles for r in table if not r.is_warhead], [r.smiles for r in table if r.is_warhead]
+    got = {r.protac_id: r for r in qc.check(df, "protac_id", "protac_smiles", "label", e3s, warheads, model).collect()}
+    assert len(got) == 42 and got["null"].flag_structural and got["bad"].flag_structural and got["bad"].margin is None
+    for r in df.collect():
+        g = got[r.protac_id]
+        assert g.n_flags == len((g.review_reasons or "").split(";")) * (g.review_reasons is not None)
+        assert g.flag_low_confidence == (g.margin is not None and g.margin < qc.UNSURE)
+        own = C.split(r.protac_smiles, refs.e3s)
+        assert g.heuristic_e3 == own["e3"] and g.flag_method_disagreement == (g.heuristic_min_similarity is not None and g.heuristic_min_similarity < qc.DISAGREE)
+    plain = qc.check(df, "protac_id", "protac_smiles", "label", e3s, warheads)
+    assert "flag_low_confidence" not in plain.columns and plain.count() == 42
+
+
 def test_cuts_leave_amides_and_esters_whole():
     for text, partner in (("c1ccccc1CCC(=O)NCCCOCCNC(=O)c1ccccc1", "N"), ("c1ccccc1CCC(=O)OCCCOCCOC(=O)c1ccccc1", "O")):
         mol = m.parse(text)
