@@ -888,7 +888,10 @@ def dictionary_growth(spark, folder):
 
 @query()
 def substructure_join(spark, folder):
-    return curation.containing(_whole_molecules(spark, folder), "protac_id", "protac_smiles", table(spark, folder, "representatives", ["rep_id", "smiles"]), "rep_id", "smiles")
+    """Which parts of the control molecules occur in each molecule, attachment points standing for any atom."""
+    parts = table(spark, folder, "controls", ["protac_id", *_LABELLED])
+    named = parts.select(F.inline(F.array(*[F.struct(F.concat_ws(":", F.lit(r), "protac_id").alias("part_id"), F.col(c).alias("part")) for r, c in zip(("e3", "linker", "poi"), _LABELLED, strict=True)])))
+    return curation.containing(_whole_molecules(spark, folder), "protac_id", "protac_smiles", named, "part_id", "part")
 
 
 @query()

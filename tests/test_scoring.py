@@ -69,7 +69,7 @@ def test_flags_name_their_reasons(spark, known):
 
 def test_generated_molecules_are_new_and_reassemble(spark):
     rows = QUERIES["generated_molecules"](spark, SF).collect()
-    assert 100 < len(rows) <= 200 and len({(r.e3, r.linker, r.poi) for r in rows}) == len(rows)
+    assert 1000 < len(rows) <= 2000 and len({(r.e3, r.linker, r.poi) for r in rows}) == len(rows)
     assert all(m.reassembles(f"{r.e3}.{r.linker}.{r.poi}", r.whole) for r in rows[:30])
     n = generate.numbered(spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "x string"), "x", "x").collect()
     assert sorted(r.x_no for r in n) == [0, 1] and {r.x for r in n} == {"a", "b"}
