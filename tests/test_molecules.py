@@ -101,3 +101,14 @@ def test_edge_rows_descriptors_and_distance(spark):
     assert len(rows) == 2000 and all(r.rings >= 0 for r in rows if r.rings is not None)
     assert m.edit_distance(m.parse("CCO"), m.parse("CCO")) == 0 and m.edit_distance(m.parse("CCO"), m.parse("CCN")) == 1
     assert abs(m.weight(m.parse("CCO")) - 46.07) < 0.01 and m.chain_length(m.parse("[*:2]CCCc1ccccc1")) == 3
+
+
+def test_large_results_leave_in_small_batches(spark):
+    """Bonds of thousands of molecules must not be in memory at once (executor memory at 1 GB)."""
+    from fragmill.operators import molecules
+
+    df = spark.createDataFrame([(i, "CCOCCN" + "C" * (i % 50)) for i in range(300)] + [(300, None), (301, "x")], "k long, t string").coalesce(1)
+    one = "bonds array<int>"
+    made = molecules._map(df, "k", ["t"], one, lambda t: {"bonds": [len(t or "")]}, rows=64)
+    assert sorted(r.k for r in made.collect()) == list(range(302))
+    assert {r.k for r in molecules.edge_features(df, "k", "t").collect()} == set(range(300))
