@@ -120,3 +120,17 @@ def test_growth_is_not_cut_silently(spark):
     assert dictionary.grow(pairs, seeds, 4).count() == 5
     with pytest.raises(RuntimeError):
         dictionary.grow(pairs, seeds, 3)
+
+
+def test_bonds_are_judged_as_by_the_fitted_model(spark, known):
+    """What is judged where a molecule is read has the fitted model's probabilities, and no bond is sent through Spark."""
+    from fragmill.operators import molecules
+
+    df = spark.createDataFrame([(i, w, f"{e}.{k}.{p}") for i, (w, e, k, p) in enumerate(known)] + [(90, None, None), (91, "x", None), (92, "C", None), (93, "CC", None)], "k long, t string, label string")
+    edges = learning.labelled_edges(df, "k", "t", "label").cache()
+    model = learning.fit_edges(edges.filter("k < 4"), 10, 4)
+    want = {(r.k, r.rank): (r.bond, r.proba) for r in learning.top_bonds(model, edges, "k", 3).collect()}
+    got = {r.k: [(x.bond, x.proba) for x in r.top] for r in learning.judged(model, df, "k", "t", 3).collect()}
+    assert {(k, i + 1): x for k, top in got.items() for i, x in enumerate(top)} == want and got[90] == got[91] == got[92] == []
+    plan = learning.judged(model, df, "k", "t")._jdf.queryExecution().toString()
+    assert "Window" not in plan and "fp" not in plan
