@@ -155,3 +155,16 @@ def test_rewritings_and_canonical_strings(spark):
     assert all(m.same(m.parse(r.text), m.parse("CCOC(N)C")) and r.labels.count(".") == 2 for r in got if r.k != 9)
     once = molecules.rewritten(df, "k", ["text", "labels"], 4, 0).collect()
     assert len(once) == 4 and {r.text for r in once} == {"CCOC(N)C", "x"}
+
+
+def test_metrics_ask_a_kind_of_atom_once_and_measure_along_bridges(monkeypatch):
+    """split_metrics: atoms of a kind share one test, and the diameter takes no table of all distances."""
+    from fragmill.chem import describe, patterns
+
+    asked = []
+    p = patterns.Pattern([lambda w, u: asked.append(u) or w.mol.atoms[u][1] == "O"], [], [False])
+    assert list(patterns.matches(patterns.view(m.parse("C" * 50 + "OCO")), p)) == [(50,), (52,)] and len(asked) < 6
+    texts = ["C.CCCC.C1CC1", "C1CC2CCC1CC2CC3CC3", "C", "CC", "C1CCCCCCCC1CCC", "c1ccccc1-c1ccccc1", "C1CC1C(C2CC2)CCC3CCCC3CC"]
+    want = [max(map(max, m.distances(m.parse(t)))) for t in texts]
+    monkeypatch.setattr(m, "distances", None)
+    assert [describe._diameter(m.parse(t)) for t in texts] == want
