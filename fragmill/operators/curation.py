@@ -7,6 +7,8 @@ linker; with one ligand and a known linker what lies beyond is the other ligand.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +37,19 @@ def found(df: DataFrame, key: str, text: str, entries: DataFrame, scratch: Scrat
 
     each = _map(df, key, [text], "s array<struct<bond:int,side:int,piece:bigint,n:int>>", make).select(key, F.inline("s"))
     hits = each.join(entries.filter("role <> 'linker'"), ["piece", "n"]).select(key, "role", "bond", "side", "ligand", "n")
-    asked = scratch.keep(hits.join(df.select(key, text), key).withColumn("_hit", F.struct(key, "role", "bond", "side", "ligand", "n")))
+    asked = scratch.keep(hits.groupBy(key).agg(F.collect_list(F.struct("role", "bond", "side", "ligand", "n")).alias("_hits")).join(df.select(key, text), key))
 
-    def check(t: str, hit: dict) -> dict:
-        mol = m.parse(t)
-        return {"ok": sides.same_piece(mol, sides.atoms_of(mol, hit["bond"], hit["side"]), hit["ligand"])}
+    def check(t: str, hits: list[dict]) -> dict:
+        mol, known, atoms = m.parse(t), {}, {}
+        for h in hits:
+            at, ask = (h["bond"], h["side"]), (h["bond"], h["side"], h["ligand"])
+            if ask not in known:
+                if at not in atoms:
+                    atoms[at] = sides.atoms_of(mol, *at)
+                known[ask] = sides.same_piece(mol, atoms[at], h["ligand"])
+        return {"hits": [h for h in hits if known[h["bond"], h["side"], h["ligand"]]]}
 
-    return _map(asked.withColumn("_ask", F.struct("bond", "side", "ligand")), "_hit", [text, "_ask"], "ok boolean", check, hashable=False).filter("ok").select("_hit.*")
+    return _map(asked, key, [text, "_hits"], "hits array<struct<role:string,bond:int,side:int,ligand:string,n:int>>", check, hashable=False, rows=256).select(key, F.inline("hits"))
 
 
 def _ordered(hits: DataFrame, key: str) -> DataFrame:
@@ -68,63 +76,82 @@ def check_whole(whole: m.Molecule, parts: dict[str, m.Molecule], most: float = T
     return all(m.tanimoto(own, m.bits(x)) <= most for x in parts.values())
 
 
-def cut_out(text: str, e3: tuple[int, int], poi: tuple[int, int]) -> dict:
-    """{e3, linker, poi, passed} for two (bond, side): nothing if they overlap or leave no middle."""
-    mol = m.parse(text)
+def _cut_out(mol: m.Molecule, e3: tuple[int, int], poi: tuple[int, int]) -> bool | None:
+    """Whether what two (bond, side) cut out passes the checks; None if they overlap or leave no middle."""
     one, two = set(sides.atoms_of(mol, *e3)), set(sides.atoms_of(mol, *poi))
     cut = (e3[0], poi[0])
     parts = splitting._parted(mol, cut) if cut[0] != cut[1] and not one & two else None
     if parts is None or set(parts["e3"]) != one or set(parts["poi"]) != two:
-        return {}
+        return None
     graphs = {r: m.parse(t) for r, t in splitting.strings(mol, cut).items()}
-    passed = check_linker(graphs["linker"], [graphs["e3"], graphs["poi"]]) and (check_sizes(mol, graphs) or check_whole(mol, graphs))
-    final = splitting.strings(mol, splitting.off_carbonyls(mol, cut))
-    return {"e3": final["e3"], "linker": final["linker"], "poi": final["poi"], "passed": passed}
+    return check_linker(graphs["linker"], [graphs["e3"], graphs["poi"]]) and (check_sizes(mol, graphs) or check_whole(mol, graphs))
 
 
-_PARTS = "e3 string, linker string, poi string, passed boolean"
+def first_cut(mol: m.Molecule, ways: Iterable[tuple[tuple[int, int], tuple[int, int]]]) -> dict:
+    """{e3, linker, poi, passed} of the first of some ways, each (bond, side) of both ligands, that passes the checks, else
+    of the last that leaves three parts; nothing if none does. Ways beyond the first that passes are not tried."""
+    last, passed = None, False
+    for e3, poi in ways:
+        got = _cut_out(mol, e3, poi)
+        if got is not None:
+            last, passed = (e3[0], poi[0]), got
+        if got:
+            break
+    return {**splitting.strings(mol, splitting.off_carbonyls(mol, last)), "passed": passed} if last else {}
 
 
-def _first(candidates: DataFrame, df: DataFrame, key: str, text: str, scratch: Scratch) -> DataFrame:
-    """(key, e3, linker, poi, passed): of candidates (key, e, p, place) the first that passes the checks, else the last."""
-    asked = scratch.keep(candidates.join(df.select(key, text), key).select(text, F.struct(key, "place").alias("_at"), F.struct("e", "p").alias("_ask")))
-    make = lambda t, a: cut_out(t, (a["e"]["bond"], a["e"]["side"]), (a["p"]["bond"], a["p"]["side"]))
-    tried = _map(asked, "_at", [text, "_ask"], _PARTS, make, hashable=False).filter("e3 is not null").select("_at.*", "e3", "linker", "poi", "passed")
-    place = F.struct((~F.col("passed")).cast("int").alias("failed"), F.when(F.col("passed"), F.col("place.a")).otherwise(-F.col("place.a")).alias("a"), F.when(F.col("passed"), F.col("place.b")).otherwise(-F.col("place.b")).alias("b"))
-    best = F.min_by(F.struct("e3", "linker", "poi", "passed"), place)
-    return tried.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+def cut_out(text: str, e3: tuple[int, int], poi: tuple[int, int]) -> dict:
+    """{e3, linker, poi, passed} for two (bond, side): nothing if they overlap or leave no middle."""
+    return first_cut(m.parse(text), [(e3, poi)])
+
+
+_PARTS = "e3 string, linker string, poi string, passed boolean"
 
 
 def by_ligands(df: DataFrame, key: str, text: str, hits: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, e3, linker, poi, passed): molecules in which an E3 ligand and a target ligand are found."""
-    ranked = _ordered(hits, key)
-    side = lambda role, name: ranked.filter(F.col("role") == role).select(key, F.struct("bond", "side").alias(name), F.col("at").alias(f"at_{name}"))
-    pairs = side("e3", "e").join(side("poi", "p"), key).filter("e.bond <> p.bond")
-    return _first(pairs.select(key, "e", "p", F.struct(F.col("at_p").alias("a"), F.col("at_e").alias("b")).alias("place")), df, key, text, scratch)
+    each = lambda role: F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("at", "bond", "side"))))
+    both = _ordered(hits, key).groupBy(key).agg(each("e3").alias("e"), each("poi").alias("p")).filter((F.size("e") > 0) & (F.size("p") > 0))
+    asked = scratch.keep(both.join(df.select(key, text), key))
 
+    def make(t: str, e: list[dict], p: list[dict]) -> dict:
+        at = lambda h: (h["bond"], h["side"])
+        return first_cut(m.parse(t), ((at(x), at(y)) for y in p for x in e if x["bond"] != y["bond"]))
 
-def by_linker(df: DataFrame, key: str, text: str, hits: DataFrame, entries: DataFrame, role: str, scratch: Scratch) -> DataFrame:
-    """(key, e3, linker, poi, passed): molecules in which a ligand of one role is found and beyond it a known linker."""
-    ranked = scratch.keep(_ordered(hits.filter(F.col("role") == role), key).join(df.select(key, text), key).withColumn("_hit", F.struct(key, "bond", "side", "at")))
+    return _map(asked, key, [text, "e", "p"], _PARTS, make, hashable=False, rows=256).filter("e3 is not null")
 
-    def make(t: str, ask: dict) -> dict:
-        return {"s": [{"far": b, "far_side": s, "piece": v, "n": n} for b, s, v, n in sides.middles(m.parse(t), ask["bond"], ask["side"])]}
 
-    each = _map(ranked.withColumn("_ask", F.struct("bond", "side")), "_hit", [text, "_ask"], "s array<struct<far:int,far_side:int,piece:bigint,n:int>>", make, hashable=False)
-    each = each.select("_hit.*", F.inline("s"))
-    met = each.join(entries.filter("role = 'linker'"), ["piece", "n"]).join(df.select(key, text), key)
-    met = scratch.keep(met.select(text, F.struct(key, "bond", "side", "at", "far", "far_side", "n", "ligand").alias("_hit")))
+def by_linker(df: DataFrame, key: str, text: str, hits: DataFrame, entries: DataFrame, role: str, scratch: Scratch) -> DataFrame:
+    """(key, e3, linker, poi, passed): molecules in which a ligand of one role is found and beyond it a known linker."""
+    own = _ordered(hits.filter(F.col("role") == role), key).groupBy(key).agg(F.collect_list(F.struct("at", "bond", "side")).alias("_hits"))
+    asked = scratch.keep(own.join(df.select(key, text), key))
 
-    def check(t: str, h: dict) -> dict:
+    def make(t: str, hits: list[dict]) -> dict:
         mol = m.parse(t)
-        ends = set(sides.atoms_of(mol, h["bond"], h["side"])) | set(sides.atoms_of(mol, h["far"], h["far_side"]))
-        return {"ok": sides.same_piece(mol, [u for u in range(len(mol.atoms)) if u not in ends], h["ligand"])}
+        return {"s": [{**h, "far": b, "far_side": s, "piece": v, "n": n} for h in hits for b, s, v, n in sides.middles(mol, h["bond"], h["side"])]}
 
-    good = _map(met.withColumn("_ask", F.col("_hit")), "_hit", [text, "_ask"], "ok boolean", check, hashable=False).filter("ok").select("_hit.*")
-    near, far = F.struct("bond", "side"), F.struct(F.col("far").alias("bond"), F.col("far_side").alias("side"))
-    e, p = (near, far) if role == "e3" else (far, near)
+    each = _map(asked, key, [text, "_hits"], "s array<struct<at:int,bond:int,side:int,far:int,far_side:int,piece:bigint,n:int>>", make, hashable=False, rows=256).select(key, F.inline("s"))
+    met = each.join(entries.filter("role = 'linker'"), ["piece", "n"])
     # Large linkers first.
-    return _first(good.select(key, e.alias("e"), p.alias("p"), F.struct("at", (-F.col("n")).alias("n")).alias("place")).select(key, "e", "p", F.struct(F.col("place.at").alias("a"), F.col("place.n").alias("b")).alias("place")), df, key, text, scratch)
+    ways = met.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", (-F.col("n")).alias("less"), "bond", "side", "far", "far_side", "ligand"))).alias("_ways"))
+    ways = scratch.keep(ways.join(df.select(key, text), key))
+
+    def cut(t: str, ways: list[dict]) -> dict:
+        mol, seen = m.parse(t), set()
+
+        def good():
+            for w in ways:
+                near, far = (w["bond"], w["side"]), (w["far"], w["far_side"])
+                if (near, far) in seen:
+                    continue
+                ends = set(sides.atoms_of(mol, *near)) | set(sides.atoms_of(mol, *far))
+                if sides.same_piece(mol, [u for u in range(len(mol.atoms)) if u not in ends], w["ligand"]):
+                    seen.add((near, far))
+                    yield (near, far) if role == "e3" else (far, near)
+
+        return first_cut(mol, good())
+
+    return _map(ways, key, [text, "_ways"], _PARTS, cut, hashable=False, rows=256).filter("e3 is not null")
 
 
 def _first_of(parts: list[DataFrame], key: str) -> DataFrame:
@@ -143,10 +170,16 @@ def split_known(df: DataFrame, key: str, text: str, dictionary: DataFrame, with_
     scratch = Scratch(df.sparkSession)
     df = scratch.keep(df.select(key, text).filter(F.col(text).isNotNull()))
     entries = scratch.keep(keyed(dictionary))
-    hits = scratch.keep(found(df, key, text, entries, scratch))
-    parts = [("e3, poi", by_ligands(df, key, text, hits, scratch))]
-    if with_linkers:
-        parts += [("e3, linker", by_linker(df, key, text, hits, entries, "e3", scratch)), ("poi, linker", by_linker(df, key, text, hits, entries, "poi", scratch))]
+    return _split_found(df, key, text, scratch.keep(found(df, key, text, entries, scratch)), entries, with_linkers, scratch)
+
+
+def _split_found(df: DataFrame, key: str, text: str, hits: DataFrame, entries: DataFrame, with_linkers: bool, scratch: Scratch) -> DataFrame:
+    """As split_known, of what is already found. A way that passes stands, so linkers are looked for only where none has."""
+    parts = [("e3, poi", scratch.keep(by_ligands(df, key, text, hits, scratch)))]
+    for role in ("e3", "poi") if with_linkers else ():
+        done = parts[-1][1].filter("passed").select(key)
+        df, hits = scratch.keep(df.join(done, key, "left_anti")), scratch.keep(hits.join(done, key, "left_anti"))
+        parts.append((f"{role}, linker", scratch.keep(by_linker(df, key, text, hits, entries, role, scratch))))
     return _first_of(parts, key)
 
 
@@ -171,10 +204,13 @@ def curate(df: DataFrame, key: str, text: str, dictionary: DataFrame, most_steps
     spark, scratch = df.sparkSession, Scratch(df.sparkSession)
     left = scratch.keep(df.select(key, text).dropna())
     known = scratch.keep(dictionary.select("role", "ligand").dropna().distinct())
-    done = None
+    done, fresh, hits, entries = None, known, None, None
     for step in range(most_steps + 1):
+        more = scratch.keep(keyed(fresh))  # what earlier entries are found in does not change: only new ones are looked for
+        hit = found(left, key, text, more, scratch)
+        hits, entries = scratch.keep(hits.join(left.select(key), key, "left_semi").unionByName(hit) if hits is not None else hit), scratch.keep(entries.unionByName(more) if entries is not None else more)
         for with_linkers in (False, True):
-            new = scratch.keep(split_known(left, key, text, known, with_linkers).filter("passed").drop("passed").withColumn("step", F.lit(step)))
+            new = scratch.keep(_split_found(left, key, text, hits, entries, with_linkers, scratch).filter("passed").drop("passed").withColumn("step", F.lit(step)))
             if not new.isEmpty():
                 break
         else:
@@ -185,8 +221,8 @@ def curate(df: DataFrame, key: str, text: str, dictionary: DataFrame, most_steps
         bare = lambda c: F.regexp_replace(c, r"\(\[\*:\d\]\)|\[\*:\d\]", "")
         parts = new.select(F.inline(F.array(*[F.struct(F.lit(r).alias("role"), bare(F.col(r)).alias("ligand")) for r in ("e3", "linker", "poi")]))).distinct()
         other = known.filter("role <> 'linker'").select(F.when(F.col("role") == "e3", "poi").otherwise("e3").alias("role"), "ligand")
-        fresh = parts.join(other, ["role", "ligand"], "left_anti").join(known, ["role", "ligand"], "left_anti")
-        known = scratch.keep(known.union(fresh.select("role", "ligand")))
+        fresh = scratch.keep(parts.join(other, ["role", "ligand"], "left_anti").join(known, ["role", "ligand"], "left_anti").select("role", "ligand"))
+        known = scratch.keep(known.union(fresh))
     raise RuntimeError(f"molecules were still split after {most_steps} steps")
 
 

@@ -90,3 +90,17 @@ def test_queries(spark):
         rows = QUERIES[name](spark, SF).collect()
         assert len(rows) > 50 and len({r.protac_id for r in rows}) == len(rows)
         assert all(m.reassembles(f"{r.e3}.{r.linker}.{r.poi}", whole[r.protac_id]) for r in rows)
+
+
+def test_ways_beyond_the_first_that_passes_are_not_tried():
+    """dictionary_split, dictionary_growth: a molecule is read once and its ways are tried in turn, not all of them."""
+    text = "c1ccncc1CCOCCOCCOCCNC(=O)Cc1ccccc1"
+    mol = m.parse(text)
+    every = [(b, s) for b, s, _, _ in C.sides.sides(mol)]
+    ways = [(e, p) for e in every for p in every]
+    alone = [C.cut_out(text, *w) for w in ways]
+    first = next(i for i, x in enumerate(alone) if x.get("passed"))
+    rest = iter(ways)
+    assert C.first_cut(mol, rest) == alone[first] and next(rest) == ways[first + 1]
+    failed = [w for w, x in zip(ways, alone, strict=True) if not x.get("passed")]
+    assert C.first_cut(mol, failed) == [x for x in alone if x and not x["passed"]][-1] and C.first_cut(mol, []) == {}
