@@ -104,3 +104,11 @@ def test_no_language_is_left_out(spark):
     assert len(many) == 60 and len(few) == 3 and many["l7"][1] == {"å": 4} and many["l7"][2] == 4
     for d in (many, few):
         assert [r.doc_id for r in E.repair(df, dictionaries=d).collect()] == [1000]
+
+
+def test_dictionaries_come_from_all_documents(spark):
+    """Every document teaches its language, however many there are: none of 1,500 words is missing, as of a sample."""
+    rows = [(f"the word w{i % 1500}x stands here", "en") for i in range(3000)] + [(None, "en"), ("", "en"), ("à la carte", None)]
+    (raw, held_by, n), = E.train(spark.createDataFrame(rows, "text string, lang string")).values()
+    assert {f"w{i}x" for i in range(1500)} <= set(raw.decode().split()) and n == 3001 and not held_by
+    assert raw.decode().split()[-1] in ("stands", "here", "word", "the")
