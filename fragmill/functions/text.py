@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Every character outside this class is dropped by folding (after lower-casing).
-FOLD_DROP = r"[^a-z0-9()\[\]=#@+\-/\\%*:.]"
+#: Every character outside this class is dropped by folding (after lower-casing). Single characters are looked up in one
+#: table; a range in a class, as a-z, makes each character cost three times as much.
+FOLD_DROP = r"[^abcdefghijklmnopqrstuvwxyz0123456789()\[\]=#@+\-/\\%*:.]"
 
 
 def fold(value: Column) -> Column:

@@ -10,9 +10,10 @@
    of them hold, what any holds, sizes). From two summaries follows how far apart any two of their values are at least.
    Only leaves of different groups that this bound does not tell apart have their values compared.
 
-Links are verified on whole records and joined by Hash-to-Min; no pairs within a group are verified. The first two steps
-follow the number of records. The third compares leaves, of which there are about as many as groups, in blocks: its
-cost is one product of 2,048 places a pair of leaves, so it grows with the square of the number of groups.
+Of equal values only one goes through these steps, and the others take its group. Links are verified on whole records
+and joined by Hash-to-Min; no pairs within a group are verified. The first two steps follow the number of records. The
+third compares leaves, of which there are about as many as groups, in blocks: its cost is one product of 2,048 places a
+pair of leaves, so it grows with the square of the number of groups.
 """
 
 from __future__ import annotations
@@ -40,6 +41,12 @@ def bands_of(n_hashes: int, rows: int, n_bands: int, seed: int = 3) -> list[list
     return out[:n_bands]
 
 
+def _renumbered(bands: list[list[int]]) -> tuple[int, list[list[int]]]:
+    """(number of hashes that the bands use, the bands by these alone)."""
+    place = {c: i for i, c in enumerate(sorted({c for b in bands for c in b}))}
+    return len(place), [[place[c] for c in b] for b in bands]
+
+
 def _banded(batches: Iterator[pa.RecordBatch], n_hashes: int, bands: list[list[int]], sketched: bool) -> Iterator[pa.RecordBatch]:
     """Of (space, group, id, value): (key, group, id) of each band, the smallest id of a batch's group only; with sketched,
     also the two words of that record's sketch."""
@@ -152,14 +159,14 @@ def _meeting(table: pa.Table, share: float) -> pa.Table:
 
 def _unjoined(kept: DataFrame, groups: DataFrame, scratch: Scratch, threshold: float, block: int = 2048, radius: float = 0.75, most: int = 256) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): (a, b) of leaves in different groups that may hold a similar pair, and the (leaf, id) of all
-    leaves. No leaves that hold a similar pair in different groups are left out.
+    leaves. No leaves that hold a similar pair in different groups are left out. ``kept`` has each value once.
 
     Two sets of similarity t or more differ in at most (1 - t) / (1 + t) of the sum of their sizes. Leaves are cut into
     blocks by size; blocks too far apart do not meet.
     """
     spark = kept.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    one = kept.groupBy("space", "value").agg(F.min("id").alias("id")).join(groups, "id").select("space", F.col("cluster").alias("grp"), "id", "value")
+    one = kept.join(groups, "id").select("space", F.col("cluster").alias("grp"), "id", "value")
     sizes = one.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
     # A group's values side by side; large groups are cut up.
     spread = one.join(sizes, "grp").repartition(n, F.col("grp"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 20_000))).sortWithinPartitions("grp", "value").select("space", "grp", "id", "value")
@@ -176,7 +183,8 @@ def _unjoined(kept: DataFrame, groups: DataFrame, scratch: Scratch, threshold: f
             if other == space and top >= threshold * low2 and top2 >= threshold * low:
                 meet += [(space, x, k, 0)] + ([(space, y, k, 1)] if y != x else [])
                 k += 1
-    pairs = spark.createDataFrame(meet, "space long, block long, pair long, side int")
+    columns = zip(*meet, strict=True) if meet else [()] * 4
+    pairs = spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["space", "block", "pair", "side"]))
     spread = placed.join(F.broadcast(pairs), ["space", "block"]).select("pair", "side", "leaf", "grp", "hi", "held", "any")
     share = (1 - threshold) / (1 + threshold)
     return spread.groupBy("pair").applyInArrow(lambda t: _meeting(t, share), "a long, b long"), rows.select("leaf", "id")
@@ -192,6 +200,9 @@ def _merged(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, cluster) with the groups (id, cluster) of linked records (a, b) joined."""
     of = lambda c: groups.select(F.col("id").alias(c), F.col("cluster").alias(f"g{c}"))
     ends = links.join(of("a"), "a").join(of("b"), "b").filter("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b")).distinct()
+    ends = scratch.keep(ends)
+    if ends.isEmpty():
+        return groups
     joined = hash_to_min(ends, scratch).withColumnRenamed("node", "cluster")
     return scratch.keep(groups.join(joined, "cluster", "left").select("id", F.coalesce("component", "cluster").alias("cluster")))
 
@@ -213,13 +224,14 @@ def linked(df: DataFrame, id_col: str, value: str, space: str | None = None, thr
     scratch = Scratch(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.col(f"`{space}`").cast("long") if space else F.lit(0).cast("long")).alias("space"), fold(F.col(f"`{value}`")).alias("value"))
-    kept = scratch.keep(kept.filter((F.length("value") >= grams.N) & F.col("id").isNotNull()))
+    every = scratch.keep(kept).filter((F.length("value") >= grams.N) & F.col("id").isNotNull())  # before it is written, it would fold twice
+    kept = scratch.keep(every.groupBy("space", "value").agg(F.min("id").alias("id")))  # equal values are in one group: one of them stands for all
     bands = bands_of(n_hashes, rows, all_bands)
-    few = sorted({c for b in bands[:first_bands] for c in b})
-    renumbered = [[few.index(c) for c in b] for b in bands[:first_bands]]
+    few, few_bands = _renumbered(bands[:first_bands])
+    used, bands = _renumbered(bands)
 
     single = kept.select("space", F.col("id").alias("grp"), "id", "value")
-    keyed = single.mapInArrow(lambda it: _banded(it, len(few), renumbered, False), "key long, grp long, id long").select("key", "id")
+    keyed = single.mapInArrow(lambda it: _banded(it, few, few_bands, False), "key long, grp long, id long").select("key", "id")
     keyed = scratch.keep(keyed)
     heads = keyed.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("top > b").select("key", "b")
     nearest = keyed.join(heads, "key").filter("id > b").groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b"))
@@ -232,7 +244,7 @@ def linked(df: DataFrame, id_col: str, value: str, space: str | None = None, thr
 
     # Records of a group side by side, so that a band value is sent on once for each group; large groups are cut up.
     spread = labelled.repartition(n, F.col("grp"), F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 20_000))).sortWithinPartitions("grp", "id").select("space", "grp", "id", "value")
-    entries = spread.mapInArrow(lambda it: _banded(it, n_hashes, bands, True), "key long, grp long, id long, s0 long, s1 long")
+    entries = spread.mapInArrow(lambda it: _banded(it, max(used, grams.SKETCHED), bands, True), "key long, grp long, id long, s0 long, s1 long")
     entries = entries.groupBy("key", "grp").agg(F.min_by(F.struct("id", "s0", "s1"), "id").alias("m"))
     # Groups that meet in a band value: each with the first. Both steps are pre-aggregated, whatever a value holds.
     entries = scratch.keep(entries)
@@ -255,5 +267,8 @@ def linked(df: DataFrame, id_col: str, value: str, space: str | None = None, thr
         of_leaf = lambda c: members.select(F.col("leaf").alias(c), F.col("id").alias(f"i{c}"))
         left = apart.join(of_leaf("a"), "a").join(of_leaf("b"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))
         groups = _merged(groups, _verified(left.repartition(n), kept, threshold), scratch)
+    ones = kept.select(F.col("id").alias("one"), F.col("space").alias("one_space"), F.col("value").alias("one_value"))
+    own = every.join(ones, F.col("space").eqNullSafe(F.col("one_space")) & (F.col("value") == F.col("one_value"))).select("id", "one")
+    groups = scratch.keep(own.join(groups.withColumnRenamed("id", "one"), "one").select("id", "cluster"))
     counts = groups.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     return groups.join(counts, "cluster").select("id", "cluster", "size")

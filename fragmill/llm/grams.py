@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import numpy as np
 
 N = 4
+#: Minhash values that a sketch is made from.
+SKETCHED = 128
 
 
 def flatten(pieces: Sequence[Sequence[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +71,7 @@ def band_keys(signatures: np.ndarray, bands: Sequence[Sequence[int]], salt: np.n
 
 def sketch(signatures: np.ndarray) -> np.ndarray:
     """128 bits of the first 128 minhash values as two integers: two sets of similarity s agree in a bit with (1 + s) / 2."""
-    x = signatures[:, :128].copy()
+    x = signatures[:, :SKETCHED].copy()
     x ^= x >> np.uint32(16)
     x *= np.uint32(0x45D9F3B)
     x ^= x >> np.uint32(16)

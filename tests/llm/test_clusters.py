@@ -69,6 +69,35 @@ def test_links_that_bands_miss(spark):
         assert sorted((r.id, r.cluster) for r in C.linked(df, "id", "value", "space", **bands).collect()) == want
 
 
+def test_values_are_folded_once_and_stand_for_all_equal_ones(spark, monkeypatch):
+    """p3_found: a text is folded once, and equal values go through all steps as one."""
+    plans, kept, keep = [], [], C.Scratch.keep
+
+    def seen(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        kept.append(keep(self, df))
+        return kept[-1]
+
+    monkeypatch.setattr(C.Scratch, "keep", seen)
+    rows = [(i, "CCOc1ccccc1" + " " * (i % 3)) for i in range(50, 0, -1)] + [(100, "NCCCCN"), (101, None), (None, "NCCCCN")]
+    df = spark.createDataFrame(rows, "id long, value string")
+    assert sorted(map(tuple, C.linked(df, "id", "value").collect())) == [(i, 1, 50) for i in range(1, 51)]
+    assert plans[0].count("regexp_replace") == 1
+    assert sorted(r.id for r in kept[1].collect()) == [1, 100]
+
+
+def test_folding_keeps_the_characters_of_molecules(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from fragmill.functions.text import fold
+
+    text = "".join(map(chr, range(1, 0x180))) + "\u2028\uff21\U0001f600"
+    got = spark.createDataFrame([(text,)], "v string").select(fold(F.col("v"))).first()[0]
+    assert got == re.sub(r"[^a-z0-9()\[\]=#@+\-/\\%*:.]", "", text.lower())
+
+
 def test_minhash_estimates_similarity():
     rng = random.Random(3)
     base = "".join(rng.choice("cnosp()=123") for _ in range(300))
